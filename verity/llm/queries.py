@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verity.llm import decontamination, multi_index
+from verity.llm.language import op4
+from verity.llm.lm_scoring import op1
+from verity.llm.quality import op10
 from verity.llm.sentencepiece_rounds import op8
+from verity.llm.simhash import op5
 from verity.llm.token_files import op9
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1,
+        "op3_multi_index": multi_index.op3,
+        "op4_language_id": op4,
+        "op5_simhash": op5,
+        "op7_decontamination": decontamination.op7,
         "op8_sentencepiece": op8,
         "op9_token_files": op9,
+        "op10_quality": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_multi_index": multi_index.SQL, "op7_decontamination": decontamination.SQL}
