@@ -1,0 +1,94 @@
+"""Anchors of windows: what lets blocks find repeated windows while asking about a small part of them.
+
+A window of `length` symbols has as its anchor the smallest hash of the `gram`-symbol runs in it. Equal windows
+have equal anchors, wherever they stand. Only a window whose anchor occurs in a second document can occur there,
+and neighbouring windows mostly share an anchor, so a block asks about its distinct anchors first (32 bits of each
+within a bucket: a false match only costs a further look).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from verity.llm.blocks import binary_rows, by_bucket
+from verity.llm.hashing import U
+
+
+def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each x[i:i + width]."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    size, m = 1, x
+    while size * 2 <= width:
+        m = np.minimum(m[: len(m) - size], m[size:])
+        size *= 2
+    if size < width:
+        m = np.minimum(m[:n], m[width - size : width - size + n])
+    return m
+
+
+class Codes:
+    """Distinct anchors of a block in the order of its messages: by bucket, then by code."""
+
+    def __init__(self, anchors: np.ndarray, several: np.ndarray, buckets: int):
+        """anchors: distinct; several: whether the block has the anchor in documents of different ids."""
+        self.buckets = buckets
+        bucket, code = self.place(anchors)
+        key = bucket << U(32) | code
+        self.key, inverse = np.unique(key, return_inverse=True)
+        self.several = np.bincount(inverse, several, len(self.key)) + np.bincount(inverse, minlength=len(self.key)) - 1 > 0 if len(key) else np.zeros(0, bool)
+
+    def place(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (anchors >> U(32)) % U(self.buckets), anchors & U(0xFFFFFFFF)
+
+    def messages(self):
+        for b, i, j in by_bucket((self.key >> U(32)).astype(np.int64), self.buckets):
+            yield b, (self.key[i:j] & U(0xFFFFFFFF)).astype("<u4").tobytes(), np.packbits(self.several[i:j]).tobytes()
+
+    def repeated(self, replies: dict[int, bytes]) -> np.ndarray:
+        """Which of the codes are repeated, from the buckets' bitmaps; no reply: none of the bucket."""
+        out = np.zeros(len(self.key), bool)
+        for b, i, j in by_bucket((self.key >> U(32)).astype(np.int64), self.buckets):
+            if b in replies:
+                out[i:j] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=j - i).astype(bool)
+        return out
+
+    def lookup(self, anchors: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        bucket, code = self.place(anchors)
+        return flags[np.searchsorted(self.key, bucket << U(32) | code)] if len(anchors) else np.zeros(0, bool)
+
+
+ASK = "bucket int, block int, codes binary, several binary"
+ANSWER = "bucket int, block int, repeated binary"
+
+
+def repeated_anchors(dealt: DataFrame, n: int, codes_of) -> DataFrame:
+    """(bucket, block, repeated): for each message a bitmap; messages without a repeated code have no row.
+
+    codes_of(table) -> Codes of a block.
+    """
+
+    def ask(t: pa.Table) -> pa.Table:
+        block = t.column("block")[0].as_py()
+        rows = [(b, block, c, s) for b, c, s in codes_of(t).messages()]
+        return pa.Table.from_pylist([dict(zip(("bucket", "block", "codes", "several"), r, strict=True)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("codes", pa.binary()), ("several", pa.binary())]))
+
+    def answer(t: pa.Table) -> pa.Table:
+        rows = binary_rows(t, "bucket", "block", "codes", "several")
+        codes = [np.frombuffer(r[2], "<u4") for r in rows]
+        several = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(c)) for r, c in zip(rows, codes, strict=True)])
+        known, inverse, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        flag = ((count > 1) | (np.bincount(inverse, several, len(known)) > 0))[inverse]
+        out, at = [], 0
+        for r, c in zip(rows, codes, strict=True):
+            f = flag[at : at + len(c)]
+            at += len(c)
+            if f.any():
+                out.append({"bucket": r[0], "block": r[1], "repeated": np.packbits(f).tobytes()})
+        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("repeated", pa.binary())]))
+
+    asked = dealt.groupBy("block").applyInArrow(ask, ASK)
+    return asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ANSWER).repartition(n, "block")
