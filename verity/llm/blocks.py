@@ -22,21 +22,27 @@ LAST_ID = 2**63 - 1
 BLOCK_BYTES = 12 << 20
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) dealt by block, and how many blocks. Null texts become empty."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, text, block) dealt by block, and how many blocks. Null texts become empty.
+
+    With carry, the whole row comes along in a column `row`, without its text.
+    """
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *[F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")] * carry,
+    )
     _, size = total_bytes(slim, "text")
     n = max(1, -(-size // block_bytes))
     return slim.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block"), n
 
 
-def unpack(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a block, in order of id and text (the order of a shuffle is not fixed)."""
+def unpack(t: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids and texts of a block in order of id and text (the order of a shuffle is not fixed), and that order."""
     ids = t.column("doc_id").combine_chunks()
     ids = ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False)
     raw = [x for c in t.column("text").chunks for x in c.cast(pa.binary()).to_pylist()]
     order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
-    return ids[order], [raw[i] for i in order]
+    return ids[order], [raw[i] for i in order], order
 
 
 def id_array(ids: np.ndarray) -> pa.Array:

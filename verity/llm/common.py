@@ -62,7 +62,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
-def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
+def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, column: str = "text") -> DataFrame:
     """mapInArrow over pieces; make() builds the step once per task."""
 
     def run(batches):

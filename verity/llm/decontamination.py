@@ -47,9 +47,9 @@ def windows_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, broadcast_bytes: int = 4 << 20) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def hit_documents(slim: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", width: int = 10, broadcast_bytes: int = 4 << 20) -> DataFrame:
+    """(d, h, hit, ids): for each contaminated (doc_id, hash of the text) its hit words and its items, of
+    slim(doc_id long, text string not null)."""
     size = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string"))).alias("b")).first()["b"] or 0
     small = (lambda df: F.broadcast(df)) if size <= broadcast_bytes else (lambda df: df)
 
@@ -86,10 +86,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(s["end"], x["start"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["end"]).alias("end")),
     )["n"]
-    by_doc = (
+    return (
         hits.groupBy(F.col("doc_id").alias("d"), F.col("hash").alias("h")).agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
         .select("d", "h", covered.cast("long").alias("hit"), "ids")
     )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    by_doc = hit_documents(slim, benchmark, **options)
     counted = slim.select("doc_id", F.xxhash64("text").alias("hash"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return counted.join(by_doc, counted["doc_id"].eqNullSafe(by_doc["d"]) & (counted["hash"] == by_doc["h"]), "left").select(
@@ -98,6 +104,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns as they are, without a word of a benchmark window."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    by_doc = hit_documents(slim, benchmark, **options).select("d", "h")
+    same = docs[id_col].cast("long").eqNullSafe(by_doc["d"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == by_doc["h"])
+    return docs.join(by_doc, same, "left_anti")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -73,7 +73,7 @@ class Block:
 
     @classmethod
     def of(cls, t: pa.Table, buckets: int, hot: np.ndarray, parts: int, modulus: int, held: int) -> Block:
-        ids, raw = unpack(t)
+        ids, raw, _ = unpack(t)
         held_out = np.array([crc_mod_py(None if i == LAST_ID else i, modulus) == held for i in ids.tolist()])
         tokens, counts = [], []
         for a, b in groups(raw, 1 << 20):

@@ -60,7 +60,7 @@ class QualityModel:
         self.weight, self.bias = weight, bias
 
     @classmethod
-    def fit(cls, raw: list[bytes], labels: list[int], buckets: int = 1 << 18, dim: int = 12, epochs: int = 6, rate: float = 0.6, seed: int = 7) -> QualityModel:
+    def fit(cls, raw: list[bytes], labels: list[int], buckets: int = 1 << 18, dim: int = 12, steps: int = 24_000, rate: float = 0.6, seed: int = 7) -> QualityModel:
         n1, n = sum(labels), len(labels)
         if not 0 < n1 < n:
             return cls(np.zeros(buckets, np.float32), float(np.log((n1 + 1) / (n - n1 + 1))))
@@ -73,6 +73,7 @@ class QualityModel:
             for i in range(len(raw[a : a + 200])):
                 u, c = np.unique(f.one(i), return_counts=True)
                 docs.append((u.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
+        epochs = max(1, min(100, -(-steps // n)))
         step, steps = 0, epochs * n
         for _ in range(epochs):
             for i in rng.permutation(n).tolist():
@@ -114,11 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, where, id_col: str = "doc_id", text_
     return QualityModel.fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", held_modulus: int = 3, held: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted, and the columns in carry as they are."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in carry))
+def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", held_modulus: int = 3, held: int = 1) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = "".join(f", {c} {slim.schema[c].dataType.simpleString()}" for c in carry)
 
     def make():
         model = shared.value
@@ -126,12 +126,23 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = model.scores(texts(batch))
             ids = batch.column("doc_id")
-            cols = [ids, pa.array([crc_mod_py(i, held_modulus) == held for i in ids.to_pylist()]), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *(batch.column(c) for c in carry)]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", *carry])
+            cols = [ids, pa.array([crc_mod_py(i, held_modulus) == held for i in ids.to_pylist()]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted"])
 
         return step
 
-    return map_pieces(slim, make, f"doc_id long, held_out boolean, score double, predicted int{kinds}")
+    return map_pieces(slim, make, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is predicted 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = shared.value
+        return lambda batch: batch.filter(pa.array(model.scores(texts(batch, text_col)) >= 0.5))
+
+    return map_pieces(docs, make, docs.schema, text_col)
 
 
 def learn_default(spark: SparkSession, docs: DataFrame, sf_dir: str) -> QualityModel:

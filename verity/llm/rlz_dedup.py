@@ -37,7 +37,7 @@ class Phrases:
 
     def __init__(self, t: pa.Table, length: int, buckets: int):
         self.length, self.buckets = length, buckets
-        self.ids, self.raw = unpack(t)
+        self.ids, self.raw, _ = unpack(t)
         docs, at, anchors, hashes, words = [], [], [], [], []
         for a, b in groups(self.raw, 1 << 20):
             w = Words(self.raw[a:b])

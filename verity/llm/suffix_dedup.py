@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verity.llm.blocks import binary_rows, by_bucket, deal, groups, id_array, pack_uints, unpack, unpack_uints
 from verity.llm.common import table
@@ -38,7 +39,7 @@ class Texts:
 
     def __init__(self, t: pa.Table, length: int, buckets: int):
         self.length, self.buckets = length, buckets
-        self.ids, self.raw = unpack(t)
+        self.ids, self.raw, self.order = unpack(t)
         docs, first, last, anchors = [], [], [], []
         for a, b in groups(self.raw, PIECE):
             joined = np.frombuffer(b"".join(self.raw[a:b]), np.uint8)
@@ -149,9 +150,9 @@ def previous_factors(docs: np.ndarray, common: np.ndarray, length: int) -> np.nd
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also `source` (the
-    text as it came) and `kept` (what remains; bytes of a character cut in two are dropped)."""
-    dealt, n = deal(docs, id_col, text_col)
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also `kept` (what
+    remains as text; bytes of a character cut in two are dropped) and `row` (the other columns as they came)."""
+    dealt, n = deal(docs, id_col, text_col, carry=True) if keep_text else deal(docs, id_col, text_col)
     anchors = repeated_anchors(dealt, n, lambda t: Texts(t, length, n).codes())
 
     def candidates(left: pa.Table, replies: dict[int, bytes]) -> Texts:
@@ -229,10 +230,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = [id_array(t.ids), pa.array([len(x) for x in t.raw], pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if keep_text:
-            cols, names = [*cols, pa.array([x.decode() for x in t.raw], pa.string()), pa.array(kept, pa.string())], [*names, "source", "kept"]
+            cols, names = [*cols, pa.array(kept, pa.string()), left.column("row").combine_chunks().take(pa.array(t.order, pa.int64()))], [*names, "kept", "row"]
         return pa.Table.from_arrays(cols, names)
 
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", source string, kept string" * keep_text)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if keep_text:
+        schema += f", kept string, row {dealt.schema['row'].dataType.simpleString()}"
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = 50) -> DataFrame:
+    """The rows of docs with what remains of their texts (a null text becomes empty), and its characters counted."""
+    left = remove_repeats(docs, id_col, text_col, length, keep_text=True)
+    new = {text_col: F.col("kept")} | ({length_col: F.char_length("kept").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
+    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
