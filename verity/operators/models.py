@@ -45,10 +45,10 @@ def ordered(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
 
 def pipeline(features: list[str], backend: str, c: TrainConfig) -> Pipeline:
     """Missing values become the training median plus an indicator column; trees follow."""
-    filled = [f"__{f}" for f in features]
-    model = BACKENDS[backend](featuresCol="__x", labelCol="__y", weightCol="__w", maxDepth=c.depth, seed=c.seed)
+    filled = [f"__filled_{f}" for f in features]
+    model = BACKENDS[backend](featuresCol="__features__", labelCol="__y", weightCol="__w", maxDepth=c.depth, seed=c.seed)
     model = model.setMaxIter(c.trees) if backend == "gbt" else model.setNumTrees(c.trees)
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=[*filled, *(f"__na_{f}" for f in features)], outputCol="__x"), model])
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=[*filled, *(f"__na_{f}" for f in features)], outputCol="__features__"), model])
 
 
 def indicators(df: DataFrame, features: list[str]) -> DataFrame:
@@ -200,7 +200,7 @@ def shap(df: DataFrame, model: PipelineModel, features: list[str], key: str, fol
     """(key, feature, value, shap) in long form; an indicator's part belongs to its feature. Trees are broadcast."""
     leaves = df.sparkSession.sparkContext.broadcast(leaves_of(model, folder))
     rows = Pipeline(stages=[]).fit(df).transform(df)
-    assembled = PipelineModel(model.stages[:-1]).transform(indicators(rows, features)).select(key, *features, vector_to_array("__x").alias("__a"))
+    assembled = PipelineModel(model.stages[:-1]).transform(indicators(rows, features)).select(key, *features, vector_to_array("__features__").alias("__a"))
     width = len(features)
 
     def run(frames: Iterator):
