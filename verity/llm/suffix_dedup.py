@@ -39,7 +39,7 @@ class Texts:
 
     def __init__(self, t: pa.Table, length: int, buckets: int):
         self.length, self.buckets = length, buckets
-        self.ids, self.raw, self.order = unpack(t)
+        self.ids, self.raw, self.rows = unpack(t)
         docs, first, last, anchors = [], [], [], []
         for a, b in groups(self.raw, PIECE):
             joined = np.frombuffer(b"".join(self.raw[a:b]), np.uint8)
@@ -230,12 +230,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = [id_array(t.ids), pa.array([len(x) for x in t.raw], pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if keep_text:
-            cols, names = [*cols, pa.array(kept, pa.string()), left.column("row").combine_chunks().take(pa.array(t.order, pa.int64()))], [*names, "kept", "row"]
+            cols, names = [*cols, pa.array(kept, pa.string()), t.rows], [*names, "kept", "row"]
         return pa.Table.from_arrays(cols, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
-        schema += f", kept string, row {dealt.schema['row'].dataType.simpleString()}"
+        kind = docs.select(F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")).schema["row"].dataType
+        schema += f", kept string, row {kind.simpleString()}"
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
