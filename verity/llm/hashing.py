@@ -29,7 +29,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, 0 to n."""
     if len(_powers["up"]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 20)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             x = np.full(size, base)
             x[0] = 1
