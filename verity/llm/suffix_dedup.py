@@ -80,37 +80,48 @@ class Texts:
 
 
 class Stretches:
-    """Distinct stretches of a block by bucket and content, with the smallest id of each."""
+    """Distinct stretches of a block by bucket, with the smallest id and the anchor's code of each."""
 
     def __init__(self, texts: Texts, parts: list[bytes]):
-        bucket = ((texts.anchor >> U(32)) % U(texts.buckets)).astype(np.int64)
-        known: dict[bytes, int] = {}
-        place = np.array([known.setdefault(p, len(known)) for p in parts], np.int64)
-        self.parts = list(known)
-        first = np.zeros(len(known), np.int64)
-        first[place[::-1]] = np.arange(len(parts))[::-1]  # runs stand in order of documents: the first has the smallest id
-        order = sorted(range(len(self.parts)), key=lambda i: (int(bucket[first[i]]), self.parts[i]))
+        self.parts, place, first = distinct(parts)
+        bucket = ((texts.anchor >> U(32)) % U(texts.buckets)).astype(np.int64)[first]
+        order = sorted(range(len(self.parts)), key=self.parts.__getitem__)
+        order = np.array(order, np.int64)[np.argsort(bucket[order], kind="stable")] if order else np.zeros(0, np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.parts = [self.parts[i] for i in order]
-        self.least = texts.ids[texts.doc[first[order]]] if order else np.zeros(0, np.int64)
-        self.bucket = bucket[first[order]] if order else np.zeros(0, np.int64)
-        self.which = rank[place] if order else place
+        self.parts = [self.parts[i] for i in order.tolist()]
+        first = first[order]
+        self.bucket, self.which = bucket[order], rank[place]
+        self.least = texts.ids[texts.doc[first]]  # runs stand in order of documents: the first has the smallest id
+        self.code = (texts.anchor[first] & U(0xFFFFFFFF)).astype("<u4")
         self.windows = np.array([len(p) - texts.length + 1 for p in self.parts], np.int64)
 
 
+def distinct(parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct strings, which of them each one is, and where each first stands."""
+    known: dict[bytes, int] = {}
+    place = np.array([known.setdefault(p, len(known)) for p in parts], np.int64)
+    first = np.zeros(len(known), np.int64)
+    first[place[::-1]] = np.arange(len(parts))[::-1]
+    return list(known), place, first
+
+
+def flat(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... count[i] of them, for each i."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places `at` in the order of the `length` bytes from each, and the common prefix of each with the one before."""
     words = -(-length // 8)
-    padded = np.concatenate([data, np.zeros(8 * words, np.uint8)])
-    keys = []
-    for k in range(words):
-        key = np.zeros(len(at), U)
-        for j in range(8):
-            key <<= U(8)
-            if 8 * k + j < length:
-                key |= padded[at + 8 * k + j]
-        keys.append(key)
+    padded = np.concatenate([data, np.zeros(8 * words + 8, np.uint8)])
+    whole = len(padded) // 8 * 8 - 8
+    eight = np.empty(whole, U)  # the eight bytes from each place as a big-endian number
+    for r in range(8):
+        eight[r::8] = padded[r : r + whole].view(">u8")
+    keys = [eight[at + 8 * k] for k in range(words)]
+    if tail := length % 8:
+        keys[-1] &= U((1 << 64) - (1 << (64 - 8 * tail)))
     order = np.lexsort(keys[::-1])
     common = np.zeros(len(at), np.int64)
     same = np.ones(max(0, len(at) - 1), bool)
@@ -161,36 +172,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         t.keep(codes.lookup(t.anchor, codes.repeated(replies)) if replies else np.zeros(len(t.doc), bool))
         return t
 
-    message = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("parts", pa.binary()), ("windows", pa.binary()), ("ids", pa.binary())])
+    message = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("parts", pa.binary()), ("windows", pa.binary()), ("ids", pa.binary()), ("codes", pa.binary())])
 
     def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             s = candidates(left, dict(binary_rows(right, "bucket", "repeated"))).stretches()
             block = left.column("block")[0].as_py()
-            rows = [{"bucket": b, "block": block, "parts": b"".join(s.parts[i:j]), "windows": pack_uints(s.windows[i:j]), "ids": s.least[i:j].astype("<i8").tobytes()} for b, i, j in by_bucket(s.bucket, n)]
+            rows = [{"bucket": b, "block": block, "parts": b"".join(s.parts[i:j]), "windows": pack_uints(s.windows[i:j]), "ids": s.least[i:j].astype("<i8").tobytes(), "codes": s.code[i:j].tobytes()} for b, i, j in by_bucket(s.bucket, n)]
         return pa.Table.from_pylist(rows, schema=message)
 
     def answer(t: pa.Table) -> pa.Table:
-        rows = binary_rows(t, "bucket", "block", "parts", "windows", "ids")
-        ids = [np.frombuffer(r[4], "<i8") for r in rows]
-        windows = [unpack_uints(r[3], len(i)) for r, i in zip(rows, ids, strict=True)]
-        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        count, doc = np.concatenate(windows), np.concatenate(ids)
-        size = count + length - 1
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        order, common = suffix_order(data, np.repeat(np.cumsum(size) - size, count) + inside, length)
-        earlier = np.empty(len(order), bool)
-        earlier[order] = previous_factors(np.repeat(doc, count)[order], common, length) >= length
-        out, at = [], 0
-        for r, w in zip(rows, windows, strict=True):
-            f = earlier[at : at + int(w.sum())]
-            at += len(f)
+        rows = binary_rows(t, "bucket", "block", "parts", "windows", "ids", "codes")
+        doc = np.concatenate([np.frombuffer(r[4], "<i8") for r in rows])
+        count = np.concatenate([unpack_uints(r[3], len(r[4]) // 8) for r in rows])
+        ends = np.cumsum(count + length - 1).tolist()
+        joined = b"".join(r[2] for r in rows)
+        parts, place, first = distinct([joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+        least = np.full(len(parts), 2**63 - 1, np.int64)
+        np.minimum.at(least, place, doc)
+        # Strings of a stretch recur only in other stretches of its anchor: a stretch that is alone with its anchor
+        # (all copies of it being equal) needs no sorting.
+        code = np.concatenate([np.frombuffer(r[5], "<u4") for r in rows])[first]
+        _, group, size = np.unique(code, return_inverse=True, return_counts=True)
+        windows = count[first]
+        edge = np.concatenate([[0], np.cumsum(windows)])
+        earlier = np.zeros(int(edge[-1]), bool)
+        crowd = np.flatnonzero(size[group] > 1)
+        if len(crowd):
+            w = windows[crowd]
+            data = np.frombuffer(b"".join([parts[i] for i in crowd.tolist()]), np.uint8)
+            lengths = w + length - 1
+            order, common = suffix_order(data, flat(np.cumsum(lengths) - lengths, w), length)
+            found = previous_factors(np.repeat(least[crowd], w)[order], common, length) >= length
+            earlier[flat(edge[crowd], w)[order]] = found
+        # A stretch that came with a later document than its first copy is found as a whole.
+        said = np.repeat(doc > least[place], count) | earlier[flat(edge[place], count)]
+        at, out = 0, []
+        cuts = np.cumsum(count)
+        done = 0
+        for r in rows:
+            done += len(r[4]) // 8
+            f, at = said[at : int(cuts[done - 1])], int(cuts[done - 1])
             if f.any():
                 out.append({"bucket": r[0], "block": r[1], "earlier": np.packbits(f).tobytes()})
         return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("earlier", pa.binary())]))
 
-    asked = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask, "bucket int, block int, parts binary, windows binary, ids binary")
+    asked = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask, "bucket int, block int, parts binary, windows binary, ids binary, codes binary")
     answers = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, "bucket int, block int, earlier binary")
     replies = anchors.selectExpr("bucket", "block", "repeated", "CAST(NULL AS BINARY) AS earlier").unionByName(answers.selectExpr("bucket", "block", "CAST(NULL AS BINARY) AS repeated", "earlier")).repartition(n, "block")
 
@@ -205,23 +233,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if b in said:
                 earlier[edge[i] : edge[j]] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=int(edge[j] - edge[i])).astype(bool)
         # Told for the block's smallest id; a later document of the block has that one before it.
-        later = t.ids[t.doc] > s.least[s.which] if len(t.doc) else np.zeros(0, bool)
-        runs = np.searchsorted(t.doc, np.arange(len(t.ids) + 1)).tolist()
+        later = t.ids[t.doc] > s.least[s.which]
+        size = np.array([len(x) for x in t.raw], np.int64)
+        base = np.cumsum(size) - size
+        start = base[t.doc] + t.first
+        mark = np.zeros(int(size.sum()) + 1, np.int32)
+        np.add.at(mark, start[later], 1)
+        np.add.at(mark, (start + t.last - t.first + length)[later], -1)
+        w = s.windows[s.which[~later]]
+        hit = flat(start[~later], w)[earlier[flat(edge[s.which[~later]], w)]]
+        np.add.at(mark, hit, 1)
+        np.add.at(mark, hit + length, -1)
+        cover = np.cumsum(mark[:-1], dtype=np.int32) > 0
+        touched = np.bincount(t.doc, minlength=len(t.ids))
         gone, spans, digests, kept = [], [], [], []
         for i, text in enumerate(t.raw):
             n_gone = n_spans = 0
-            if runs[i + 1] > runs[i]:
-                mark = np.zeros(len(text) + 1, np.int32)
-                for r in range(runs[i], runs[i + 1]):
-                    a, b, w = int(t.first[r]), int(t.last[r]), int(s.which[r])
-                    hit = np.arange(a, b + 1) if later[r] else a + np.flatnonzero(earlier[edge[w] : edge[w + 1]])
-                    mark[hit] += 1
-                    mark[hit + length] -= 1
-                cover = np.cumsum(mark[:-1]) > 0
-                n_gone = int(cover.sum())
+            if touched[i]:
+                mine = cover[base[i] : base[i] + size[i]]
+                n_gone = int(mine.sum())
                 if n_gone:
-                    n_spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
-                    text = np.frombuffer(text, np.uint8)[~cover].tobytes()
+                    n_spans = int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum())
+                    text = np.frombuffer(text, np.uint8)[~mine].tobytes()
             gone.append(n_gone)
             spans.append(n_spans)
             digests.append(hashlib.sha256(text).hexdigest())
