@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from verity.llm.common import pieces, shared_dir, table, texts, total_bytes
 
+#: ASCII punctuation without the apostrophe, which the tokenizer joins with letters.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What stands for a null doc_id in an index file.
 NO_ID = -(2**63)
 
@@ -42,16 +44,17 @@ class ChunkEncoder:
     whole texts in the tests): no token and no normalisation of theirs reaches across white space.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: np.dtype, cache_chunks: int = 400_000):
+    def __init__(self, tokenizer_file: str, dtype: np.dtype, cache_chunks: int = 300_000, cache_stems: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.limit = Tokenizer.from_file(tokenizer_file), dtype, cache_chunks
+        self.stem_limit, self.stems = cache_stems, {}
         self.cache: dict[bytes, bytes] = {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype).tobytes() for c in ".,"}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of the file format."""
@@ -66,23 +69,38 @@ class ChunkEncoder:
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Letters with at most one stop or comma are encoded together in one text and told apart by word ends."""
-        stems, rest = {}, []
+        """Letters with punctuation behind them: stem and punctuation each have their own ids, and stems stay in a
+        cache of their own. New stems are encoded together in one text and told apart by word ends."""
+        split, stems, rest = {}, set(), []
         for c in chunks:
-            stem = c[:-1] if c[-1] in ".," else c
-            if stem.isalpha():
-                stems.setdefault(stem.lower() if stem.isascii() else stem, []).append(c)
-            else:
+            stem = c.rstrip(PUNCTUATION)
+            if not stem.isalpha():
                 rest.append(c)
-        ids = np.array(self.batch([" ".join(stems)], add_special_tokens=False)[0].ids, np.int64)
+                continue
+            folded = stem.lower() if stem.isascii() else stem
+            split[c] = (folded, c[len(stem) :])
+            if folded not in self.stems:
+                stems.add(folded)
+        if len(self.stems) + len(stems) > self.stem_limit:
+            self.stems.clear()
+            stems = {folded for folded, _ in split.values()}
+        new = list(stems)
+        ids = np.array(self.batch([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.word_end[ids]) + 1 if len(ids) else ids
-        if len(ends) != len(stems):  # a letter that the tokenizer takes apart
-            rest, stems, ends = chunks, {}, ends[:0]
-        raw, size, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
-        for spelt, end in zip(stems.values(), ends.tolist(), strict=True):
-            for c in spelt:
-                self.cache[c.encode()] = raw[at * size : end * size] + self.stops.get(c[-1], b"")
-            at = end
+        if len(ends) == len(new):
+            raw, size, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
+            for stem, end in zip(new, ends.tolist(), strict=True):
+                self.stems[stem] = raw[at * size : end * size]
+                at = end
+        else:  # a letter that the tokenizer takes apart
+            rest += [c for c, (folded, _) in split.items() if folded in stems]
+            split = {c: v for c, v in split.items() if v[0] not in stems}
+        for c, (folded, tail) in split.items():
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, self.dtype).tobytes()
+            self.cache[c.encode()] = self.stems[folded] + self.tails[tail]
         for c, e in zip(rest, self.batch(rest, add_special_tokens=False), strict=True):
             self.cache[c.encode()] = np.array(e.ids, self.dtype).tobytes()
 
