@@ -19,14 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verity.llm.common import cut, map_pieces, table, texts
 from verity.llm.components import Forest, components
 
 
-def fingerprints_of(raw: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each text (A-Z lower-cased, words between white space) over its hashed word shingles."""
+def shingle_hashes(raw: list[bytes], shingle: int, seed: int = 42) -> tuple[list[int], np.ndarray]:
+    """Hashes of the word shingles of all texts (A-Z lower-cased, words between white space), and how many each has."""
     digest, hashes, counts = xxhash.xxh64_intdigest, [], []
     for t in raw:
         words = t.lower().split()
@@ -39,7 +38,12 @@ def fingerprints_of(raw: list[bytes], shingle: int = 3, seed: int = 42) -> np.nd
         starts = (ends - [len(w) + 1 for w in words])[:n].tolist()
         ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
         hashes += [digest(text[a:b], seed) for a, b in zip(starts, ends, strict=True)]
-    counts = np.array(counts, np.int64)
+    return hashes, np.array(counts, np.int64)
+
+
+def fingerprints_of(raw: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each text over its hashed word shingles."""
+    hashes, counts = shingle_hashes(raw, shingle, seed)
     out = np.zeros(len(raw), np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
@@ -163,16 +167,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, prints["fp"] == named["f"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of docs, all columns as they are, that stay: of each group of near copies the document with the
-    smallest id (of rows that repeat that id the first by text). Rows with a null id stay."""
-    found = simhash_components(docs, id_col, text_col, shingle, bits)
-    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct())
-    stay = docs.join(kept, docs[id_col].cast("long") == kept["kept_id"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy(docs[id_col]).orderBy(docs[text_col]))
-    one = stay.select(F.struct(*docs.columns).alias("row"), rank.alias("rank")).where("rank = 1").select("row.*")
-    return one.unionByName(docs.where(docs[id_col].isNull()))
-
-
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
