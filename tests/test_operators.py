@@ -251,3 +251,22 @@ def test_workflows_and_stream(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         scoring.drop_folder(spark, src, df.schema, lambda b: b.select("id"), out, str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 5
+
+
+def test_silhouette_counts_every_row(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(2300, 3)), rng.integers(0, 3, 2300)
+    x[:, 0] += c * np.where(np.arange(2300) < 1500, 3, 0)
+    c[7] = 3  # a cluster of one
+    df = spark.createDataFrame([(i, x[i].tolist(), int(c[i])) for i in range(2300)], "id long, v array<double>, c int")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    want = []
+    for i in range(2300):
+        mean = {k: d[i, c == k].sum() / ((c == k).sum() - (k == c[i])) for k in range(4) if (c == k).sum() > (k == c[i])}
+        a, b = mean.get(c[i]), min(v for k, v in mean.items() if k != c[i])
+        want.append(0.0 if a is None else (b - a) / max(a, b))
+    for block in (2048, 300):
+        assert clusters.silhouette(df, "v", "c", block=block) == pytest.approx(np.mean(want), abs=1e-9)
+    assert clusters.silhouette(df.withColumn("c", F.lit(0)), "v", "c") is None

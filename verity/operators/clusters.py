@@ -5,12 +5,15 @@ from __future__ import annotations
 import dataclasses
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verity.operators import crosstab as X
+from verity.sources.folders import scratch
 
 
 def standardised(df: DataFrame, vector: str, name: str) -> DataFrame:
@@ -30,36 +33,88 @@ def kmeans(df: DataFrame, vector: str, k: int, name: str, seeds: int = 10, seed:
     return best.transform(rows).drop("__x")
 
 
-def silhouette(df: DataFrame, vector: str, cluster: str, key: str, sample: int = 2000, seed: int = 42) -> float | None:
-    """Mean Euclidean silhouette on at most `sample` rows in the seeded order; None for a single cluster.
+def silhouette(df: DataFrame, vector: str, cluster: str, block: int = 2048) -> float | None:
+    """Mean Euclidean silhouette over all rows; None for a single cluster.
 
-    The sample is the feature here: it is a report figure that guides the choice of k.
+    Rows are packed in blocks, and each pair of blocks gives the sums of distances of one block's rows to the clusters
+    of the other. The work is the square of the rows; what is sent is a number for each row, cluster and pair of blocks.
     """
-    from verity.operators.derive import sample_rows
-
-    got = sample_rows(df.select(key, vector, cluster), key, sample, seed).collect()
-    x, c = np.array([r[vector] for r in got], float), np.array([r[cluster] for r in got])
-    kinds = np.unique(c)
-    if len(kinds) < 2:
+    rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.col(cluster).cast("int").alias("c"))
+    sizes = {r["c"]: r["count"] for r in rows.groupBy("c").count().collect()}
+    if len(sizes) < 2:
         return None
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
-    sums = np.stack([d[:, c == k].sum(1) for k in kinds], axis=1)
-    n = np.array([(c == k).sum() for k in kinds])
-    own = np.searchsorted(kinds, c)
-    rows = np.arange(len(c))
-    a = sums[rows, own] / np.maximum(n[own] - 1, 1)
-    other = sums / n
-    other[rows, own] = np.inf
-    b = other.min(1)
-    s = np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return float(s.mean())
+    kinds = np.array(sorted(sizes))
+    total = np.array([sizes[k] for k in kinds.tolist()], float)
+
+    def pack(batches):
+        part, held, n = TaskContext.get().partitionId(), [], 0
+
+        def packed(held, n):
+            t = pa.Table.from_batches(held).combine_chunks()
+            x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([x.tobytes()], pa.binary()), pa.array([t.column("c").to_numpy().astype(np.int32).tobytes()], pa.binary())], ["i", "x", "c"])
+
+        waiting = 0
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                piece = b.slice(at, block)
+                if waiting + piece.num_rows > block:
+                    yield packed(held, n)
+                    held, waiting, n = [], 0, n + 1
+                held.append(piece)
+                waiting += piece.num_rows
+        if waiting:
+            yield packed(held, n)
+
+    def of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        c = np.searchsorted(kinds, np.frombuffer(row["c"], np.int32))
+        return np.frombuffer(row["x"], float).reshape(len(c), -1), c
+
+    def distances(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                (x, c), (y, d) = of(r), of({"x": r["y"], "c": r["d"]})
+                near = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+                if r["i"] == r["j"]:
+                    np.fill_diagonal(near, 0)
+                sums = near @ (d[:, None] == np.arange(len(kinds)))
+                yield pa.RecordBatch.from_arrays([pa.array([r["i"]]), pa.array([sums.tobytes()], pa.binary()), pa.array([c.astype(np.int32).tobytes()], pa.binary())], ["i", "sums", "own"])
+
+    def scores(batches):
+        found: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                own = np.frombuffer(r["own"], np.int32)
+                sums = np.frombuffer(r["sums"], float).reshape(len(own), -1)
+                if r["i"] in found:
+                    found[r["i"]][0] += sums
+                else:
+                    found[r["i"]] = [sums.copy(), own]
+        for sums, own in found.values():
+            at = np.arange(len(own))
+            a = sums[at, own] / np.maximum(total[own] - 1, 1)
+            other = sums / total
+            other[at, own] = np.inf
+            b = other.min(1)
+            s = np.where(total[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([float(s.sum())]), pa.array([len(s)])], ["s", "n"])
+
+    blocks = max(1, -(-int(total.sum()) // block))
+    folder = scratch(df.sparkSession)
+    rows.repartition(blocks).mapInArrow(pack, "i long, x binary, c binary").write.parquet(folder)
+    left = df.sparkSession.read.parquet(folder)
+    pairs = left.crossJoin(left.select(F.col("i").alias("j"), F.col("x").alias("y"), F.col("c").alias("d")))
+    part = pairs.mapInArrow(distances, "i long, sums binary, own binary").repartition(blocks, "i").mapInArrow(scores, "s double, n long")
+    got = part.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return got["s"] / got["n"]
 
 
 def choose_k(df: DataFrame, vector: str, key: str, low: int = 2, high: int = 8, n: int | None = None, seeds: int = 3) -> int:
     n = n if n is not None else df.count()
     best = (-2.0, 1)
     for k in range(low, min(high, n - 1) + 1):
-        s = silhouette(kmeans(df, vector, k, "__k", seeds), vector, "__k", key)
+        s = silhouette(kmeans(df, vector, k, "__k", seeds), vector, "__k")
         if s is not None and s > best[0]:
             best = (s, k)
     return best[1]
