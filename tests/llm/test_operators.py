@@ -376,3 +376,17 @@ def test_quality(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert quality.score(df.where("false"), model).collect() == []
     assert {r["predicted"] for r in quality.score(df, quality.fit(df, lab.where("false"), F.lit(True))).collect()} == {1}
+
+
+def test_multi_index_links_vectors_of_every_length(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for d, n in ((16, 20), (8, 6), (1, 3), (3, 1)):
+        for _ in range(n):
+            v = [float(x) for x in np.abs(rng.normal(size=d)) + (d == 1)]
+            rows += [(len(rows) + k, w) for k, w in enumerate((v, v, [2 * x for x in v]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = lambda a, b: len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95
+    label = brute_components(rows, near)
+    want = [(i, sum(near(v, w) for j, w in rows if j != i), c, i == c) for (i, v), c in zip(rows, label, strict=True)]
+    assert listed(multi_index.near_duplicates(df), "vec_id", "n_links", "component_id", "kept") == expect(want)

@@ -13,13 +13,14 @@ Copies (equal components) are one entry with a count. Members and visitors of a
 (cell, i, j), from counts per cell (at most codebook size squared numbers), so that no task holds a whole hot
 cell; a task returns counts of links and a spanning forest, never pairs.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors of another
-length than the most frequent. Rows with a null vec_id have a row of their own without links. Rows that repeat a
+Vectors of each length have an index of their own and link among themselves. Vectors that are null, zero, or hold null
+or non-finite components link with nothing. Rows with a null vec_id have a row of their own without links. Rows that repeat a
 vec_id are vectors of their own, and share the component of that id. Labels and other columns are never read.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -114,12 +115,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False)))
-    dims = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dims["d"]))
+    rest = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    lengths = [r["d"] for r in rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    if not lengths:
+        return rest.select("*", F.lit(True).alias("kept"))
+    parts = [_same_length(rows.where(F.col("ok") & (F.size("v") == d)).select("vec_id", "v"), threshold, recall, sample_rows, per_cell, max_book, block) for d in lengths]
+    entry, links = (functools.reduce(DataFrame.unionByName, p) for p in zip(*parts, strict=True))
+    entry = entry.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select(F.col("v").alias("vec"), "links", F.coalesce("component", "rep").alias("component"))
+    out = rows.where("ok").join(entry, rows["v"] == entry["vec"], "left").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    return out.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _same_length(rows: DataFrame, threshold: float, recall: float, sample_rows: int, per_cell: int, max_book: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of usable vectors (vec_id, v) of one length, from an index of their own: distinct vectors (v, rep, links), and
+    links of a spanning forest (u, v)."""
     # Copies are one entry. Positive multiples are not merged: they meet in the same cell and link there.
-    entry = rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    entry = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     entry = cut(entry)
     n = entry.count()
     sample = np.array([r["v"] for r in entry.orderBy(F.xxhash64("rep"), "rep").limit(min(sample_rows, n)).select("v").collect()])
@@ -127,7 +138,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     book = int(np.clip(np.sqrt(n / per_cell), 1, max_book))
     if sample.shape[1] < 2:
         sample = np.hstack([sample, np.zeros_like(sample)])
-    shared = vectors.sparkSession.sparkContext.broadcast(Grid(sample, book, threshold, recall))
+    shared = rows.sparkSession.sparkContext.broadcast(Grid(sample, book, threshold, recall))
 
     def place(batches):
         grid = shared.value
@@ -171,15 +182,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     found = cut(found)
     counts = found.where("w IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    whole = components(found.where("w IS NOT NULL").select("u", F.col("w").alias("v")))
-    entry = (
-        entry.join(counts, "rep", "left").join(whole.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(F.col("v").alias("vec"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    )
-    hit = rows["ok"] & (rows["v"] == entry["vec"])
-    out = rows.where("ok").join(entry, hit, "left").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    rest = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    entry = entry.join(counts, "rep", "left").select("v", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return entry, found.where("w IS NOT NULL").select("u", F.col("w").alias("v"))
 
 
 def _two(x: np.ndarray) -> np.ndarray:
