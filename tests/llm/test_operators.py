@@ -390,3 +390,14 @@ def test_multi_index_links_vectors_of_every_length(spark):
     label = brute_components(rows, near)
     want = [(i, sum(near(v, w) for j, w in rows if j != i), c, i == c) for (i, v), c in zip(rows, label, strict=True)]
     assert listed(multi_index.near_duplicates(df), "vec_id", "n_links", "component_id", "kept") == expect(want)
+
+
+def test_language_learns_rare_and_long_ones(spark):
+    rng = random.Random(2)
+    tags = [f"l{k:03}" for k in range(205)]
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(30)) for _ in range(5))
+    rows = [(k * 2 + c, " ".join(word(k) for _ in range(8)), tag) for k, tag in enumerate(tags) for c in range(1 if k > 199 else 2)]
+    rows.append((1000, "qwx zqk " * 8000, "long"))
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert set(model.langs) == {*tags, "long"}
+    assert model.predict(["qwx zqk qwx"])[0] == ["long"] and model.predict([rows[-2][1]])[0] == [tags[-1]]

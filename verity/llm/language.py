@@ -182,18 +182,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 250, max_bytes: int = 50_000, max_langs: int = 200) -> LanguageModel:
-    """Learn from at most max_docs rows of each of at most max_langs languages (the most frequent; ties by name)."""
+def fit(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 250, max_bytes: int = 50_000) -> LanguageModel:
+    """Learn every language that is there, each from at most max_docs rows; texts of more than max_bytes are taken
+    only where a language has fewer shorter ones, and then their first max_bytes characters."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    slim = slim.where(where & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= max_bytes))
-    langs = [r["lang"] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    slim = slim.where(where & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    slim = slim.withColumn("long", F.octet_length("text") > max_bytes)
     # The lowest hashes of each language, by salt before by language, so that no task sorts a whole language.
-    ids = slim.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    ids = slim.select("lang", "doc_id", "long", F.xxhash64("doc_id").alias("h"))
     for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("rank") <= max_docs).drop("rank")
-    picked = sorted({(r["lang"], r["doc_id"]) for r in ids.collect()})  # at most max_docs ids a language
-    chosen = docs.sparkSession.createDataFrame(picked, "lang string, doc_id long")
-    rows = slim.join(F.broadcast(chosen), ["lang", "doc_id"]).limit(max_docs * max_langs).collect() if picked else []
+        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("long", "h", "doc_id"))).where(F.col("rank") <= max_docs).drop("rank")
+    picked = sorted({(r["lang"], r["doc_id"], r["long"]) for r in ids.collect()})  # at most max_docs ids a language
+    chosen = docs.sparkSession.createDataFrame(picked, "lang string, doc_id long, long boolean")
+    rows = slim.join(F.broadcast(chosen), ["lang", "doc_id", "long"]).withColumn("text", F.substring("text", 1, max_bytes))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text"))  # ids may repeat
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= max_docs).collect() if picked else []
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])
