@@ -401,3 +401,10 @@ def test_language_learns_rare_and_long_ones(spark):
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
     assert set(model.langs) == {*tags, "long"}
     assert model.predict(["qwx zqk qwx"])[0] == ["long"] and model.predict([rows[-2][1]])[0] == [tags[-1]]
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    rows = [(7, 0), (None, 0b111), (4, 0b111111), (None, 0xFFFF << 40), (None, 0xFFFF << 40)]
+    monkeypatch.setattr(simhash, "map_pieces", lambda slim, make, schema: spark.createDataFrame(rows, schema))
+    got = simhash.simhash_components(spark.createDataFrame([(7, "")], "doc_id long, text string"))
+    assert listed(got, "doc_id", "component_id") == expect([(7, 4), (None, 4), (4, 4), (None, None), (None, None)])

@@ -160,10 +160,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return step
 
     prints = cut(map_pieces(slim, make, "doc_id long, fp long"))  # 16 bytes a document, made once
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     partitions = max(4, -(-distinct.count() * (bits + 1) // rows_per_partition))
-    whole = components(near(distinct, bits, partitions))
-    named = distinct.join(whole, distinct["rep"] == whole["id"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
+    # Fingerprints are linked by value, so that one whose rows have no id links others; ids come afterwards.
+    whole = components(near(distinct.select("fp", F.col("fp").alias("rep")), bits, partitions))
+    named = cut(distinct.join(whole, distinct["fp"] == whole["id"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c")))
+    lows = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    named = named.select(F.col("fp").alias("f"), "c").join(lows, "c").select("f", "component_id")
     return prints.join(named, prints["fp"] == named["f"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
