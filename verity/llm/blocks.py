@@ -102,7 +102,9 @@ def groups(raw: list[bytes], limit: int) -> list[tuple[int, int]]:
 
 
 def by_bucket(bucket: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(bucket, first, last) of each bucket present in a sorted array of buckets."""
+    """(bucket, first, last) of each bucket present in a sorted array of buckets; an empty array has none."""
+    if not len(bucket):
+        return []
     edge = np.searchsorted(bucket, np.arange(n + 1)) if n <= len(bucket) else None
     if edge is None:
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
