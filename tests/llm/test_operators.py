@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from verity.llm import decontamination, language, lm_scoring, multi_index, quality, rlz_dedup, sentencepiece_rounds, simhash, suffix_dedup, token_files
+from verity.llm import decontamination, exchange, language, lm_scoring, multi_index, quality, rlz_dedup, sentencepiece_rounds, simhash, suffix_dedup, token_files
 from verity.llm.components import Forest, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, bucket int, hash long, words string"
@@ -70,42 +70,137 @@ def many_blocks(monkeypatch):
     from verity.llm import blocks
 
     for module in (lm_scoring, rlz_dedup, suffix_dedup):
-        monkeypatch.setattr(module, "deal", lambda *a, f=blocks.deal: f(*a, 4000))
-
-
-def test_lm_scoring(docs, many_blocks):
+        monkeypatch.setattr(module, "deal", lambda *a, f=blocks.deal, **k: f(*a[:3], 4000, **k))
+
+
+class Arcs:
+    """The automaton by dictionaries: arcs (history, word) and failure arcs, walked one token after the other."""
+
+    def __init__(self, tokens, order, strength):
+        self.order, self.strength = order, strength
+        self.count = collections.Counter()
+        for t in tokens:
+            for k in range(1, order + 1):
+                padded = ["start", *t]
+                self.count.update(tuple(padded[i : i + k]) for i in range(0 if k > 1 else 1, len(padded) - k + 1))
+        self.start = len(tokens)
+        self.total = sum(c for g, c in self.count.items() if len(g) == 1)
+        self.kinds = sum(len(g) == 1 for g in self.count)
+
+    def seen(self, history):
+        return self.start if history == ("start",) else self.count[history]
+
+    def p(self, history, word):
+        if not history:
+            return (self.count[(word,)] + 0.1) / (self.total + 0.1 * (self.kinds + 1))
+        k = self.strength[len(history)]
+        return (self.count[(*history, word)] + k * self.p(history[1:], word)) / (self.seen(history) + k)
+
+    def walk(self, text):
+        state, score, fails = ("start",)[: self.order - 1], 0.0, 0
+        for w in text:
+            while state and not self.count[(*state, w)]:
+                k = self.strength[len(state)]
+                score, state, fails = score + math.log10(k / (self.seen(state) + k)), state[1:], fails + 1
+            score += math.log10(self.p(state, w))
+            state = (*state, w)[-(self.order - 1) :] if self.order > 1 else ()
+            while state and not self.seen(state):
+                state = state[1:]
+        return score, fails
+
+
+@pytest.mark.parametrize(("order", "fan"), [(1, 8), (2, 8), (3, 3)])
+def test_lm_scoring(docs, many_blocks, monkeypatch, order, fan):
     rows, df = docs
-    got = listed(lm_scoring.score(df, hot_share=0.02, hot_parts=3), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    used = []
+    monkeypatch.setattr(lm_scoring, "strengths", lambda *a, f=lm_scoring.strengths: used.append(f(*a)) or used[-1])
+    got = listed(lm_scoring.score(df, order=order, fan_bits=fan), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     tokens = [[*(t or "").encode().lower().split(), None] for _, t, *_ in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in rows]
-    count, pair = collections.Counter(), collections.Counter()
-    for t, h in zip(tokens, held, strict=True):
-        if not h:
-            count.update(t)
-            pair.update(zip(["start", *t], t, strict=False))
-    total, kinds = sum(count.values()), len(count)
-    state = collections.defaultdict(lambda: [0, 0, 0, 0])
-    for (h, _), c in pair.items():
-        for k, v in enumerate((c, 1, c == 1, c == 2)):
-            state[h][k] += v
+    arcs = Arcs([t for t, h in zip(tokens, held, strict=True) if not h], order, used[-1])
+    for k in range(1, order):  # Good and Turing's condition on each strength
+        expected = sum(c * used[-1][k] / (c + used[-1][k]) for g, c in arcs.count.items() if len(g) == k)
+        assert expected == pytest.approx(sum(c == 1 for g, c in arcs.count.items() if len(g) == k + 1), rel=1e-3)
     want = []
     for (i, *_), t, h in zip(rows, tokens, held, strict=True):
-        base = score = 0.0
-        for a, w in zip(["start", *t], t, strict=False):
-            p1 = (count[w] + 0.1) / (total + 0.1 * (kinds + 1))
-            p = p1
-            if a in state:
-                c, k, once, twice = state[a]
-                d = (once + 9) / (once + 2 * twice + 10)
-                p = max(pair[a, w] - d, 0) / c + d * k / c * p1
-            base, score = base + math.log10(p1), score + math.log10(p)
-        want.append((i, h, len(t), sum(count[w] > 0 for w in t), total, base, score))
+        base = sum(math.log10(arcs.p((), w)) for w in t)
+        want.append((i, h, len(t), sum(arcs.count[(w,)] > 0 for w in t), arcs.total, base, arcs.walk(t)[0]))
     want = expect(want)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
     assert lm_scoring.score(empty(docs)).collect() == []
 
 
+def test_automaton_arcs_and_failures():
+    """States, arcs and failure arcs of a small block against dictionaries, and that a state's weights sum to one."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["a b zzz q a b"]
+    import pyarrow as pa
+
+    from verity.llm.blocks import packed
+
+    batch = pa.record_batch({"block": pa.array([0] * 41, pa.int32()), "doc_id": pa.array(range(41), pa.int64()), "text": texts})
+    import zstandard
+
+    block = packed([batch], zstandard.ZstdCompressor())
+    g = lm_scoring.Grams.of(pa.Table.from_batches([block]), 3, 3, 0)
+    tokens = [[*t.encode().split(), None] for t in texts]
+    strength = [1.0, 2.0, 3.0]
+    arcs = Arcs([t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 3], 3, strength)
+    model = lm_scoring.Automaton(g, g.train, arcs.total, arcs.kinds, arcs.start, strength)
+    flat = [(d, i) for d, t in enumerate(tokens) for i in range(len(t))]
+    name = {}
+    for k in range(3):
+        for (d, i), x in zip(flat, g.gram[k].tolist(), strict=True):
+            if x >= 0:
+                name[x] = tuple(["start", *tokens[d]][i + 1 - k : i + 2])
+    assert len(name) == len(g.key) > len(arcs.count) and set(arcs.count) <= set(name.values())
+    for x, words in name.items():
+        assert g.train[x] == arcs.count[words] and g.order[x] == len(words)
+        assert 10 ** model.weight[x] == pytest.approx(arcs.p(words[:-1], words[-1]))
+        assert model.fail[x + 2] == (0 if len(words) == 1 else 2 + next(y for y, w in name.items() if w == words[1:]))
+        if len(words) < 3 and words[-1] is not None:
+            k = strength[len(words)]
+            assert 10 ** model.fail_weight[x + 2] == pytest.approx(k / (arcs.seen(words) + k))
+    for history in [("start",), (b"a",), (b"a", b"b"), ("start", b"a")]:
+        words = [w for (w,) in [g for g in arcs.count if len(g) == 1]]
+        unknown = 0.1 / (arcs.total + 0.1 * (arcs.kinds + 1))
+        for n in range(len(history)):
+            k = strength[n + 1]
+            unknown *= k / (arcs.seen(history[len(history) - 1 - n :]) + k)
+        assert sum(arcs.p(history, w) for w in words) + unknown == pytest.approx(1)
+    assert np.allclose(model.traverse(), [arcs.walk(t)[0] for t in tokens])
+    assert sum(arcs.walk(t)[1] for t in tokens) > 2
+
+
+def test_exchange_messages_grow_with_the_blocks(spark):
+    """Every key's sum comes back to every asker through any number of levels, with at most blocks * fan messages each."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    rng = np.random.default_rng(3)
+    requests = []
+    for _ in range(70):
+        key = np.unique(rng.integers(0, 2**64, rng.integers(1, 60), dtype=np.uint64))
+        requests.append((np.unique(np.append(key, np.uint64(7))), None))
+    requests = [(k, rng.integers(0, 300, len(k))) for k, _ in requests]
+    total = collections.Counter()
+    for k, v in requests:
+        total.update(dict(zip(k.tolist(), v.tolist(), strict=True)))
+    kind = exchange.Counts()
+    for fan in (2, 3, 8):
+        sent = [r for i, q in enumerate(requests) for r in exchange.messages(kind, q, i, len(requests), fan).to_pylist()]
+        assert len(sent) <= len(requests) << fan
+        asked = spark.createDataFrame([tuple(r.values()) for r in sent], T.StructType.fromDDL(exchange.ROW))
+        back = collections.defaultdict(list)
+        for r in exchange.answers(asked, kind, len(requests), fan).collect():
+            back[r["node"]].append(r)
+        for i, (k, _) in enumerate(requests):
+            t = pa.Table.from_pylist([r.asDict() for r in back[i]])
+            t = t.set_column(t.column_names.index("data"), "data", pa.array([bytes(x) for x in t.column("data").to_pylist()]))
+            assert exchange.joined(kind, t).tolist() == [total[x] for x in k.tolist()]
+
+
 def brute_spans(items, length):
     first: dict = {}
     for i, s in items:
@@ -133,6 +228,51 @@ def test_rlz_dedup(docs, many_blocks):
     assert rlz_dedup.parse(empty(docs)).collect() == []
 
 
+def test_rlz_factors(docs, many_blocks):
+    """Each factor is copied from its source word for word, is as long as it can be there, and all repeats are covered."""
+    rows, df = docs
+    words = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        words[i].append((t or "").encode().split())
+    first: dict = {}
+    for i, each in words.items():
+        for w in each:
+            for k in range(len(w) - 49):
+                first[tuple(w[k : k + 50])] = min(first.get(tuple(w[k : k + 50]), (key(None), 0)), (key(i), k))
+    got, seen = rlz_dedup.parse(df, keep_text=True, fan_bits=3).collect(), 0
+    for r in got:
+        if len(words[r["doc_id"]]) > 1:
+            continue
+        (own,), spans, starts = words[r["doc_id"]], r["factors"], []
+        for f in spans:
+            seen += 1
+            assert f["source"] < key(r["doc_id"]) and f["words"] >= 50
+            piece = own[f["start"] : f["start"] + f["words"]]
+            assert any(w[f["source_start"] : f["source_start"] + f["words"]] == piece for w in words[f["source"]])
+            for k in range(f["words"] - 49):  # the reference is where each phrase stands first
+                assert first[tuple(piece[k : k + 50])] == (f["source"], f["source_start"] + k)
+                starts.append(f["start"] + k)
+        assert starts == [k for k in range(len(own) - 49) if first[tuple(own[k : k + 50])][0] < key(r["doc_id"])]
+        for f, g in zip(spans, spans[1:], strict=False):  # a factor ends only where its source does not go on
+            assert f["start"] + f["words"] - 49 < g["start"] or (f["source"], f["source_start"] + g["start"] - f["start"]) != (g["source"], g["source_start"])
+    assert seen > 40
+
+
+def test_rlz_compares_words(monkeypatch):
+    """Phrases that share a hash are told apart by their words."""
+    from verity.llm.passages import NONE, Passages
+
+    rng = random.Random(6)
+    parts = [b" ".join(rng.choice([b"a", b"bb", b"c"]) for _ in range(rng.randint(4, 12))) for _ in range(40)]
+    windows = np.array([len(x.split()) - 2 for x in parts])
+    p = Passages(np.zeros(40, np.uint64), parts, windows, np.array([rng.randint(0, 9) for _ in parts]), np.array([rng.randint(0, 99) for _ in parts]))
+    good = rlz_dedup.first_places(p, 3)
+    exact = rlz_dedup.first_places_by_words(p, 3)
+    assert [x.tolist() for x in good] == [x.tolist() for x in exact] and 0 < (good[0] != NONE).sum() < len(good[0])
+    monkeypatch.setattr(rlz_dedup, "ranges", lambda pre, a, b, f=rlz_dedup.ranges: f(pre, a, b) % np.uint64(5))
+    assert [x.tolist() for x in rlz_dedup.first_places(p, 3)] == [x.tolist() for x in exact]
+
+
 def test_suffix_dedup(docs, many_blocks):
     rows, df = docs
     items = [(i, (t or "").encode()) for i, t, *_ in rows]

@@ -1,26 +1,28 @@
-"""Blocks of documents and their messages to buckets of keys and back.
-
-Operators that look up something about every token or window of a corpus work in blocks: documents dealt by a
-hash of their id so that a block holds about `block_bytes` of text. A block asks about each of its distinct keys
-once: it sends one row for each bucket of the key space, holding the keys as a packed sorted array, and gets the
-answers back in the same order. So a key that a third of all documents hold is one entry for each block, and a
-bucket holds at most one entry a block of it. Blocks and buckets both grow in number with the input; their sizes
-stay. All steps are shuffles of ordinary rows: a lost executor's part is made again from its lineage.
+"""Blocks of documents.
+
+Operators that look up something about every token or window of a corpus work in blocks: documents dealt by a hash
+of their id and text so that a block holds about `block_bytes` of text (a longer text is a block's alone). A block
+asks about each of its distinct keys once (see exchange). Blocks grow in number with the input and keep their size;
+they lie in at most `partitions` partitions, whose tasks work one block at a time.
 """
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.common import pieces, total_bytes
+from verity.llm.common import pieces, quoted, total_bytes
 
-#: Stands for a null id: it comes after every other.
+#: Stands for a null id in comparisons: none comes after it. Which ids are null is kept apart (Block.null).
 LAST_ID = 2**63 - 1
 BLOCK_BYTES = 8 << 20
+#: Most partitions that blocks are dealt to.
+PARTITIONS = 8192
 #: Bytes of text that a task gathers before it packs what it has for each block.
 PACK_BYTES = 16 << 20
 
@@ -32,12 +34,12 @@ def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
     become empty. With carry, whole rows come along in a column `row`, without their texts.
     """
     slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        *[F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")] * carry,
+        quoted(docs, id_col).cast("long").alias("doc_id"), F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")).alias("text"),
+        *[F.struct(*(quoted(docs, c).alias(c) for c in docs.columns if c != text_col)).alias("row")] * carry,
     )
     _, size = total_bytes(slim, "text")
     n = max(1, -(-size // block_bytes))
-    placed = slim.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    placed = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def pack(batches):
         packer, held, size = zstandard.ZstdCompressor(level=3), [], 0
@@ -51,7 +53,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
         if held:
             yield packed(held, packer)
 
-    return placed.mapInArrow(pack, "block int, data binary").repartition(n, "block"), n
+    return placed.mapInArrow(pack, "block int, data binary").repartition(min(n, PARTITIONS), "block"), n
 
 
 def packed(held: list[pa.RecordBatch], packer) -> pa.RecordBatch:
@@ -70,22 +72,31 @@ def packed(held: list[pa.RecordBatch], packer) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
 
-def unpack(t: pa.Table) -> tuple[np.ndarray, list[bytes], pa.Array | None]:
-    """Ids and texts of a block in order of id and text (the order of a shuffle is not fixed), and carried rows."""
+@dataclasses.dataclass
+class Block:
+    """Documents of a block in order of id and text (the order of a shuffle is not fixed); null ids come last."""
+
+    ids: np.ndarray
+    null: np.ndarray
+    raw: list[bytes]
+    rows: pa.Array | None  # carried ones
+
+    def id_array(self) -> pa.Array:
+        return pa.array(self.ids, mask=self.null)
+
+
+def unpack(t: pa.Table) -> Block:
     opener = zstandard.ZstdDecompressor()
     parts = [pa.ipc.open_stream(opener.decompress(d)).read_all() for d in t.column("data").to_pylist()]
     if not parts:
-        return np.zeros(0, np.int64), [], None
+        return Block(np.zeros(0, np.int64), np.zeros(0, bool), [], None)
     t = pa.concat_tables(parts)
-    ids = t.column("doc_id").combine_chunks().fill_null(LAST_ID).to_numpy(zero_copy_only=False)
+    column = t.column("doc_id").combine_chunks()
+    null, ids = column.is_null().to_numpy(zero_copy_only=False), column.fill_null(LAST_ID).to_numpy(zero_copy_only=False)
     raw = [x for c in t.column("text").chunks for x in c.cast(pa.binary()).to_pylist()]
-    order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
+    order = sorted(range(len(raw)), key=lambda i: (ids[i], null[i], raw[i]))
     rows = t.column("row").combine_chunks().take(pa.array(order, pa.int64())) if "row" in t.column_names else None
-    return ids[order], [raw[i] for i in order], rows
-
-
-def id_array(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, mask=ids == LAST_ID)
+    return Block(ids[order], null[order], [raw[i] for i in order], rows)
 
 
 def groups(raw: list[bytes], limit: int) -> list[tuple[int, int]]:
@@ -101,17 +112,6 @@ def groups(raw: list[bytes], limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(bucket, first, last) of each bucket present in a sorted array of buckets; an empty array has none."""
-    if not len(bucket):
-        return []
-    edge = np.searchsorted(bucket, np.arange(n + 1)) if n <= len(bucket) else None
-    if edge is None:
-        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
-    return [(b, int(edge[b]), int(edge[b + 1])) for b in range(n) if edge[b + 1] > edge[b]]
-
-
 def pack_uints(x: np.ndarray) -> bytes:
     """Non-negative integers: one byte each up to 254; 255 says that the next of the 64-bit tail has the value."""
     big = x >= 255
@@ -122,7 +122,3 @@ def unpack_uints(data: bytes, n: int) -> np.ndarray:
     x = np.frombuffer(data, np.uint8, n).astype(np.int64)
     x[x == 255] = np.frombuffer(data, "<u8", offset=n).astype(np.int64)
     return x
-
-
-def binary_rows(t: pa.Table, *names: str) -> list[tuple]:
-    return list(zip(*(t.column(n).to_pylist() for n in names), strict=True))

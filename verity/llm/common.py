@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(df: DataFrame, name: str):
+    """A column by its whole name, dots and blanks included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -1,24 +1,28 @@
 """Operator 1: language-model scoring with a weighted back-off automaton.
 
-The model is a bigram model over words with absolute discounting, interpolated with the smoothed unigram of the
-base score. As an automaton: the root, and a state for each history (a word, or the start of a text). A state's
-arcs are its seen followers, weighted with their log-probability; its failure arc leads to the root and carries
-the log of the state's back-off mass; the root has an arc for every word and one for all unknown words. One
-left-to-right traversal carries the state and adds up weights.
+The model is an n-gram model over words (order 3 by default): counts of n-grams, each history smoothed towards the
+next shorter one with a Dirichlet prior, down to the smoothed unigram of the base score.
 
-    p(w | h) = max(c(hw) - D(h), 0) / c(h) + D(h) T(h) / c(h) * p(w)
-    D(h) = (n1(h) + 9) / (n1(h) + 2 n2(h) + 10)      T, n1, n2: followers seen at all, once, twice
+    p(w | h) = (c(hw) + k p(w | h')) / (c(h) + k)        h': h without its first word; k: one number per order
 
-so probabilities of a state sum to one over the vocabulary and the unknown word.
+As an automaton: the root, and a state for each history that occurs in training (one or more words, or the start of
+a text and the words from there). A state's arcs are its seen followers, weighted with log10 p(w | h), and lead to
+the state of the longest history that ends in w; its failure arc leads to the state of h' and carries
+log10(k / (c(h) + k)); the root has an arc for every word and one for all unknown words. One left-to-right traversal
+carries the state, takes failure arcs until the state has an arc for the word, and adds up weights. Probabilities of
+a state sum to one over the vocabulary and the unknown word.
 
-Counts come from all documents. A block asks for its distinct (history, word) pairs in the bucket of the history;
-a bucket adds up counts and returns each pair's count and each history's c, T, n1, n2. Frequent histories (at
-least `hot_share` of the words of a few blocks; at most 1/hot_share of them; it only steers the dealing) are split
-over several buckets, and a block adds up their parts. Words and pairs are told apart by 64-bit and (within a
-history) 48-bit hashes.
+The strength k of an order is the one at which the model expects as many first followers as training shows by Good
+and Turing's estimate: the sum of k / (c(h) + k) over its tokens is the number of n-grams of that order that occur
+once. It comes from the counts of counts over the whole corpus.
+
+Counts come from all documents. A block asks about its distinct n-grams of all orders by exchange.Counts, gets each
+one's count, and builds the part of the automaton that its texts can reach. N-grams are told apart by 61-bit hashes
+and their order: of 10^12 distinct ones about 2 * 10^5 share a hash with another one.
 
 Nulls: a null text is empty (only the end token); a row with a null id is scored, and counted as training, since
-its remainder is not 0. Repeated rows count as often as they occur. An empty table gives no rows.
+its remainder is not 0. Repeated rows count as often as they occur. An empty table gives no rows. Without any
+training row all counts are 0 and every score is the base score.
 """
 
 from __future__ import annotations
@@ -30,215 +34,209 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm.blocks import LAST_ID, binary_rows, by_bucket, deal, groups, id_array, pack_uints, unpack, unpack_uints
-from verity.llm.common import crc_mod_py, cut, map_pieces, table, texts
+from verity.llm import exchange
+from verity.llm.blocks import PARTITIONS, Block, deal, groups, unpack
+from verity.llm.common import crc_mod_py, cut, table
 from verity.llm.hashing import U, Words, mix, segment_sums
 
 START, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
-LOW48 = U((1 << 48) - 1)
-
-
-class Automaton:
-    """Arcs by (state, word) pair and failure arcs by state, for the pairs and states of one block."""
-
-    def __init__(self, pair_count, pair_state, pair_word_logp, state_count, state_kinds, state_once, state_twice):
-        c = np.maximum(state_count, 1)
-        discount = (state_once + 9) / (state_once + 2 * state_twice + 10)
-        mass = np.where(state_count > 0, discount * state_kinds / c, 1.0)
-        seen = pair_count > 0
-        self.failure = np.log10(mass)
-        own = np.maximum(pair_count - discount[pair_state], 0) / c[pair_state]
-        backed = np.log10(mass)[pair_state] + pair_word_logp  # failure arc, then the root's arc
-        self.weight = np.where(seen, np.log10(own + mass[pair_state] * 10.0**pair_word_logp), backed)
-
-    def traverse(self, pairs: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Accumulated weight of each text; pairs: the pair (state, word) of each token in order."""
-        return segment_sums(self.weight[pairs], first, last)
+#: Text of a block: its n-grams take about 60 times as much memory.
+BLOCK_BYTES = 4 << 20
+#: The low bits of an n-gram's key are its order less one.
+ORDER_BITS = 3
+#: Counts up to here are told apart in the counts of counts; larger ones fall in 16 classes for each power of two.
+EXACT = 256
 
 
 @dataclasses.dataclass
-class Block:
-    """Tokens of a block's texts, and its distinct pairs in the order of their messages."""
-
-    ids: np.ndarray
-    count: np.ndarray  # of tokens of each text
-    pair: np.ndarray  # of each token: which distinct pair (history, token)
-    state_hash: np.ndarray  # of each message entry (bucket, history)
-    state_bucket: np.ndarray
-    state_pairs: np.ndarray  # pairs of each entry
-    word48: np.ndarray  # of each distinct pair
-    word: np.ndarray  # the pair's word as a full hash
-    train: np.ndarray  # how often each pair occurs in training texts
-    held: np.ndarray
+class Grams:
+    """Tokens of a block's texts, and the distinct n-grams that end at them."""
+
+    block: Block
+    held: np.ndarray  # of each text
+    count: np.ndarray  # tokens of each text
+    first: np.ndarray  # first token of each text
+    key: np.ndarray  # of each distinct n-gram, ascending
+    train: np.ndarray  # how often it occurs in training texts
+    order: np.ndarray  # its order ...
+    at: np.ndarray  # ... and the token at which it ends first
+    gram: list[np.ndarray]  # of each order, which n-gram ends at each token; -1: that would begin before the text's start
 
     @classmethod
-    def of(cls, t: pa.Table, buckets: int, hot: np.ndarray, parts: int, modulus: int, held: int) -> Block:
-        ids, raw, _ = unpack(t)
-        held_out = np.array([crc_mod_py(None if i == LAST_ID else i, modulus) == held for i in ids.tolist()])
+    def of(cls, t: pa.Table, order: int, modulus: int, held: int) -> Grams:
+        block = unpack(t)
+        held_out = np.array([crc_mod_py(None if x else i, modulus) == held for i, x in zip(block.ids.tolist(), block.null.tolist(), strict=True)], bool)
         tokens, counts = [], []
-        for a, b in groups(raw, 1 << 20):
-            w = Words(raw[a:b], fold=True)
+        for a, b in groups(block.raw, 1 << 20):
+            w = Words(block.raw[a:b], fold=True)
             n = np.diff(w.first)
             x = np.full(len(w.hash) + b - a, END)
             x[np.arange(len(w.hash)) + np.repeat(np.arange(b - a), n)] = w.hash
             tokens.append(x)
             counts.append(n + 1)
-        tokens, count = np.concatenate(tokens), np.concatenate(counts)
-        history = np.append(START, tokens[:-1])
-        history[np.cumsum(count) - count] = START
-        whole = mix(history * U(0x9E3779B97F4A7C15) ^ tokens)
-        order = np.argsort(whole)
-        new = np.append(True, whole[order][1:] != whole[order][:-1])
-        inverse = np.empty(len(order), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        at = order[new]
-        h, w = history[at], tokens[at]
-        weight = np.repeat(~held_out, count)
-        train = np.bincount(inverse[weight], minlength=len(at))
-        # Bucket of the history; a frequent history lies in several, by the word.
-        is_hot = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-        part = np.where(is_hot, (w >> U(40)) % U(parts), U(0))
-        bucket = (((h >> U(32)) + part) % U(buckets)).astype(np.int64)
-        w48 = w & LOW48
-        order = np.lexsort((w48, h, bucket))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        h, w48, w, train, bucket = h[order], w48[order], w[order], train[order], bucket[order]
-        edge = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1]))) if len(h) else np.zeros(0, int)
-        return cls(ids, count, rank[inverse], h[edge], bucket[edge], np.diff(np.append(edge, len(h))), w48, w, train, held_out)
-
-    def asked(self, hot: np.ndarray, buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries as they are sent: also those parts of frequent histories of which the block has no pair."""
-        mine = hot[np.isin(hot, self.state_hash)]
-        if not len(mine):
-            return self.state_bucket, self.state_hash, self.state_pairs
-        h = np.repeat(mine, parts)
-        b = (((h >> U(32)) + np.tile(np.arange(parts, dtype=U), len(mine))) % U(buckets)).astype(np.int64)
-        have = set(zip(self.state_bucket.tolist(), self.state_hash.tolist(), strict=True)) if parts > 1 else set()
-        more = [i for i, k in enumerate(zip(b.tolist(), h.tolist(), strict=True)) if k not in have]
-        more = sorted({(int(b[i]), int(h[i])) for i in more})
-        if not more:
-            return self.state_bucket, self.state_hash, self.state_pairs
-        mb, mh = np.array([m[0] for m in more], np.int64), np.array([m[1] for m in more], U)
-        order = np.lexsort((np.append(self.state_hash, mh), np.append(self.state_bucket, mb)))
-        return np.append(self.state_bucket, mb)[order], np.append(self.state_hash, mh)[order], np.append(self.state_pairs, np.zeros(len(more), np.int64))[order]
-
-
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unsix(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-ASK = "bucket int, block int, states binary, pairs binary, words binary, counts binary"
-ANSWER = "bucket int, block int, counts binary, states binary, tokens long, types long, hot binary"
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held: int = 0, hot_share: float = 0.002, hot_parts: int = 32) -> DataFrame:
+        token, count = np.concatenate(tokens), np.concatenate(counts)
+        first = np.cumsum(count) - count
+        place = np.arange(len(token)) - np.repeat(first, count)
+        keys, ends, hashed = [], [], token
+        for k in range(order):
+            if k:  # the n-gram of k words that ends a token earlier, and this token
+                before = np.append(U(0), hashed[:-1])
+                if k == 1:
+                    before[first] = START
+                hashed = mix(before * U(0x9E3779B97F4A7C15) ^ token)
+            ok = np.flatnonzero(place >= k - 1)
+            keys.append(mix(hashed[ok] + U(k)) >> U(ORDER_BITS) << U(ORDER_BITS) | U(k))
+            ends.append(ok)
+        sizes = [len(x) for x in keys]
+        at = np.concatenate(ends)
+        key, one, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        train = np.bincount(inverse, np.repeat(~held_out, count)[at], len(key)).astype(np.int64)
+        gram = []
+        for ok, inv in zip(ends, np.split(inverse, np.cumsum(sizes)[:-1]), strict=True):
+            g = np.full(len(token), -1, np.int64)
+            g[ok] = inv
+            gram.append(g)
+        return cls(block, held_out, count, first, key, train, (key & U((1 << ORDER_BITS) - 1)).astype(np.int64) + 1, at[one], gram)
+
+
+class Automaton:
+    """The states and arcs that a block's texts can reach.
+
+    State 0 is the root, state 1 the start of a text, state 2 + g the history of n-gram g. `fail` and `fail_weight`
+    are by state; `weight` is by n-gram: the arc of its last word from the state of the words before it.
+    """
+
+    def __init__(self, grams: Grams, count: np.ndarray, train: int, types: int, ends: int, strength: list[float]):
+        self.grams, self.count = grams, count
+        n, top = len(grams.key), len(grams.gram)
+        self.begins = np.zeros(len(grams.gram[0]), bool)
+        self.begins[grams.first] = True
+        self.fail = np.zeros(n + 2, np.int64)
+        self.fail_weight = np.zeros(n + 2)
+        p = np.zeros(n)
+        for k in range(1, top + 1):
+            g = np.flatnonzero(grams.order == k)
+            at = grams.at[g]
+            if k == 1:
+                p[g] = (count[g] + 0.1) / (train + 0.1 * (types + 1))
+                continue
+            s = strength[k - 1]
+            history = self.history(k - 1, at)
+            c = np.where(history == 1, ends, count[np.maximum(history - 2, 0)])
+            p[g] = (count[g] + s * p[grams.gram[k - 2][at]]) / (c + s)
+            # This n-gram as a history: the next shorter one ends at the same word.
+            self.fail[g + 2] = grams.gram[k - 2][at] + 2
+        self.weight = np.log10(p)
+        for k in range(1, top):  # states of k words: what passes on to the next shorter history
+            g, s = np.flatnonzero(grams.order == k), strength[k]
+            self.fail_weight[g + 2] = np.log10(s / (count[g] + s))
+        self.fail_weight[1] = np.log10(strength[1] / (ends + strength[1])) if top > 1 else 0.0
+
+    def history(self, words: int, at: np.ndarray) -> np.ndarray:
+        """State of the `words` symbols before each token; -1 where a text has fewer."""
+        before = np.where(self.begins[at], -1, self.grams.gram[words - 1][at - 1])
+        state = np.where(before < 0, -1, before + 2)
+        return np.where(self.begins[at] & (words == 1), 1, state)
+
+    def traverse(self) -> np.ndarray:
+        """Accumulated weight of each text.
+
+        The state before a token is that of the longest history (its arcs lead there), so all texts are walked at
+        once: every token stands at its state, and those without an arc from there fail together until none is left.
+        """
+        gram, tokens = self.grams.gram, np.arange(len(self.begins))
+        total = np.zeros(len(tokens))
+        state, words = np.full(len(tokens), -1), np.zeros(len(tokens), np.int64)
+        for k in range(len(gram) - 1, 0, -1):
+            open_ = np.flatnonzero(state < 0)
+            state[open_] = found = self.history(k, open_)
+            words[open_] = np.where(found >= 0, k, 0)
+        state[state < 0] = 0
+        while len(tokens):
+            k = words[tokens]
+            arc = np.stack([g[tokens] for g in gram])[k, np.arange(len(tokens))]
+            has = (k == 0) | (self.count[arc] > 0)
+            total[tokens[has]] += self.weight[arc[has]]
+            tokens = tokens[~has]
+            total[tokens] += self.fail_weight[state[tokens]]
+            state[tokens], words[tokens] = self.fail[state[tokens]], words[tokens] - 1
+        return segment_sums(total, self.grams.first, self.grams.first + self.grams.count)
+
+
+def classes(total: np.ndarray) -> np.ndarray:
+    """Class of each count for the counts of counts."""
+    exp = np.frexp(np.maximum(total, 1).astype(np.float64))[1].astype(np.int64)
+    return np.where(total < EXACT, total, EXACT + exp * 16 + (total >> np.maximum(exp - 5, 0)) % 16)
+
+
+def counted(key: np.ndarray, total: np.ndarray) -> bytes:
+    """Of each order and class of counts: distinct n-grams and their occurrences, as rows of four numbers."""
+    some = total > 0
+    total, order = total[some], (key[some] & U((1 << ORDER_BITS) - 1)).astype(np.int64)
+    both, place = np.unique(order << 32 | classes(total), return_inverse=True)
+    return np.stack([both >> 32, both & 0xFFFFFFFF, np.bincount(place, minlength=len(both)), np.bincount(place, total, len(both)).astype(np.int64)], axis=1).astype("<i8").tobytes()
+
+
+def _totals(answers: DataFrame) -> list[tuple[int, int, int, int]]:
+    """Counts of counts of the corpus: (order - 1, class, n-grams, occurrences); some hundreds of rows for each order."""
+
+    def unpack_rows(batches):
+        for batch in batches:
+            x = np.concatenate([np.zeros((0, 4), "<i8"), *(np.frombuffer(d, "<i8").reshape(-1, 4) for d in batch.column("data").to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], ["o", "c", "types", "tokens"])
+
+    found = answers.where("node < 0").select("data").mapInArrow(unpack_rows, "o long, c long, types long, tokens long")
+    return [tuple(r) for r in found.groupBy("o", "c").agg(F.sum("types"), F.sum("tokens")).collect()]
+
+
+def strengths(totals: list[tuple[int, int, int, int]], order: int) -> list[float]:
+    """k of each order (the first is not used)."""
+    out = [1.0]
+    for k in range(1, order):
+        n = np.array([(tokens / types, tokens) for o, _, types, tokens in totals if o == k - 1], np.float64).reshape(-1, 2)
+        once = sum(types for o, c, types, _ in totals if o == k and c == 1)
+        low, high = 1e-3, 1e6
+        for _ in range(80):  # the expected number of first followers grows with k
+            mid = (low * high) ** 0.5
+            low, high = (mid, high) if (n[:, 1] * mid / (n[:, 0] + mid)).sum() < once else (low, mid)
+        out.append((low * high) ** 0.5)
+    return out
+
+
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held: int = 0, order: int = 3, fan_bits: int = exchange.FAN_BITS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    dealt, n = deal(docs, id_col, text_col)
-    parts = min(n, hot_parts)
-    hot = _frequent(docs, id_col, text_col, n, hot_share) if parts > 1 else np.zeros(0, U)
+    dealt, n = deal(docs, id_col, text_col, BLOCK_BYTES)
+    kind = exchange.Counts(counted)
 
     def ask(t: pa.Table) -> pa.Table:
-        b = Block.of(t, n, hot, parts, modulus, held)
-        block = t.column("block")[0].as_py()
-        bucket, states, pairs = b.asked(hot, n, parts)
-        at = np.concatenate([[0], np.cumsum(pairs)])
-        rows = [(k, block, states[i:j].astype("<u8").tobytes(), pack_uints(pairs[i:j]), _six(b.word48[at[i] : at[j]]), pack_uints(b.train[at[i] : at[j]])) for k, i, j in by_bucket(bucket, n)]
-        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "block", "states", "pairs", "words", "counts"])
-
-    def answer(t: pa.Table) -> pa.Table:
-        rows = sorted(binary_rows(t, "block", "states", "pairs", "words", "counts"))
-        states = [np.frombuffer(r[1], "<u8") for r in rows]
-        pairs = [unpack_uints(r[2], len(s)) for r, s in zip(rows, states, strict=True)]
-        words = [_unsix(r[3]) for r in rows]
-        counts = [unpack_uints(r[4], len(w)) for r, w in zip(rows, words, strict=True)]
-        known, state = np.unique(np.concatenate(states), return_inverse=True)
-        of_pair = np.repeat(state, np.concatenate(pairs))
-        key = mix(of_pair.astype(U) << U(48) ^ (of_pair.astype(U) >> U(16)) * U(0xD6E8FEB86659FD93) ^ np.concatenate(words))
-        _, first, same = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(same, np.concatenate(counts), len(first)).astype(np.int64)
-        owner = of_pair[first]
-        stats = np.stack([np.bincount(owner, w, len(known)) for w in (total, total > 0, total == 1, total == 2)], axis=1).astype(np.int64)
-        frequent = np.isin(known, hot)
-        plain = ~frequent & (known != START)
-        out, i, j = [], 0, 0
-        tell = np.concatenate([known[frequent].astype("<u8").view("<i8"), stats[frequent, 0]]).astype("<i8").tobytes()
-        for r, s, w in zip(rows, states, words, strict=True):
-            out.append((t.column("bucket")[0].as_py(), r[0], pack_uints(total[same[j : j + len(w)]]), pack_uints(stats[state[i : i + len(s)]].T.ravel()), 0, 0, b""))
-            i, j = i + len(s), j + len(w)
-        out.append((t.column("bucket")[0].as_py(), None, b"", b"", int(stats[plain, 0].sum()), int((stats[plain, 0] > 0).sum()), tell))
-        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "counts", "states", "tokens", "types", "hot"])
-
-    asked = dealt.groupBy("block").applyInArrow(ask, ASK)
-    answers = cut(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ANSWER))
-    # Sums over buckets; of frequent histories (at most 1 / hot_share) the parts. START is never a word.
-    sums = answers.where("block IS NULL").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    hot_counts: dict[int, int] = {}
-    for r in answers.where("block IS NULL").where(F.length("hot") > 0).select("hot").toLocalIterator():
-        k, c = np.frombuffer(r["hot"], "<i8").reshape(2, -1)
-        for h, v in zip(k.view("<u8").tolist(), c.tolist(), strict=True):
-            hot_counts[h] = hot_counts.get(h, 0) + v
-    ends = docs.where(~F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % modulus == held, F.lit(False))).count()
-    words = {h: c for h, c in hot_counts.items() if h != int(START)}
-    train = (sums["tokens"] or 0) + sum(words.values()) + ends
-    types = (sums["types"] or 0) + sum(c > 0 for c in words.values()) + (ends > 0)
+        g = Grams.of(t, order, modulus, held)
+        return exchange.messages(kind, (g.key, g.train), t.column("block")[0].as_py(), n, fan_bits)
+
+    answers = cut(exchange.answers(dealt.groupBy("block").applyInArrow(ask, exchange.ROW), kind, n, fan_bits))
+    totals = _totals(answers)
+    train, types = (sum(r[k] for r in totals if r[0] == 0) for k in (3, 2))
+    strength = strengths(totals, order)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], f.type) for f in OUT], schema=OUT)
-        b = Block.of(left, n, hot, parts, modulus, held)
-        bucket, states, _ = b.asked(hot, n, parts)
-        replies = {r[0]: r[1:] for r in binary_rows(right, "bucket", "counts", "states")}
-        counts, stats, at = [], [], np.concatenate([[0], np.cumsum(b.state_pairs)])
-        pairs_in = {k: int(at[j] - at[i]) for k, i, j in by_bucket(b.state_bucket, n)}
-        for k, i, j in by_bucket(bucket, n):
-            counts.append(unpack_uints(replies[k][0], pairs_in.get(k, 0)))
-            stats.append(unpack_uints(replies[k][1], 4 * (j - i)).reshape(4, -1))
-        total, stats = np.concatenate(counts), np.concatenate(stats, axis=1)
-        known, same = np.unique(states, return_inverse=True)  # parts of a frequent history add up
-        c, kinds, once, twice = (np.bincount(same, s, len(known)) for s in stats)
-        word_at = np.minimum(np.searchsorted(known, b.word), len(known) - 1)
-        word_count = np.where(b.word == END, ends, np.where(known[word_at] == b.word, c[word_at], 0))
-        logp = np.log10((word_count + 0.1) / (train + 0.1 * (types + 1)))
-        pair_state = np.searchsorted(known, np.repeat(b.state_hash, b.state_pairs))
-        model = Automaton(total, pair_state, logp, c, kinds, once, twice)
-        last = np.cumsum(b.count)
-        first = last - b.count
-        known_tokens = segment_sums((word_count > 0)[b.pair], first, last)
-        cols = [id_array(b.ids), pa.array(b.held), pa.array(b.count.astype(np.int64)), pa.array(known_tokens.round().astype(np.int64)), pa.array(np.full(len(b.ids), train, np.int64)), pa.array(segment_sums(logp[b.pair], first, last)), pa.array(model.traverse(b.pair, first, last))]
+        g = Grams.of(left, order, modulus, held)
+        count = exchange.joined(kind, right)
+        last = g.gram[0][g.first + g.count - 1]  # the end token: once in every text
+        model = Automaton(g, count, train, types, int(count[last[0]]), strength)
+        base, known = (segment_sums(x[g.gram[0]], g.first, g.first + g.count) for x in (model.weight, count > 0))
+        cols = [g.block.id_array(), pa.array(g.held), pa.array(g.count.astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(g.held), train, np.int64)), pa.array(base), pa.array(model.traverse())]
         return pa.Table.from_arrays(cols, schema=OUT)
 
-    replies = answers.where("block IS NOT NULL").select("bucket", "block", "counts", "states").repartition(n, "block")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = answers.where("node >= 0").select(F.col("node").alias("block"), "digit", "data").repartition(min(n, PARTITIONS), "block")
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCHEMA)
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _frequent(docs: DataFrame, id_col: str, text_col: str, blocks: int, share: float, of_blocks: int = 2) -> np.ndarray:
-    """Hashes of words with at least `share` of the words of the first blocks, and START: it steers dealing only."""
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) < of_blocks)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            w = Words(texts(batch), fold=True)
-            h, c = np.unique(w.hash, return_counts=True)
-            top = c >= max(1, share / 2 * len(w.hash))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h[top], U(0)).view(np.int64)), pa.array(np.append(c[top], len(w.hash)))], ["h", "c"])
-
-        return step
-
-    found = map_pieces(some, make, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c")).limit(int(2 / share) + 1).collect()
-    total = sum(r["c"] for r in found if r["h"] == 0)
-    return np.array(sorted({r["h"] & (2**64 - 1) for r in found if r["h"] != 0 and r["c"] >= share * total} | {int(START)}), U)
-
-
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

@@ -1,19 +1,20 @@
 """Operator 2: substring dedup by relative Lempel-Ziv parsing.
 
-The reference is all documents, indexed in blocks: each block is a sorted array of the phrases (strings of
-`length` consecutive words) of its part of the phrase space with the smallest doc_id in which each starts. A
-document is parsed greedily from left to right: where the phrase at hand starts in an earlier document, a factor
-begins, and it grows by a word as long as the phrase that ends there does so too; else the word is a literal.
-Every factor thus has at least `length` words and is a duplicate span. Phrases that straddle the end of a factor
-are looked up like all others, so that a match which begins inside one factor and ends behind it is not lost.
-
-Factoring every document against every block one after the other would take documents times blocks, so a document
-asks only the blocks that can hold its phrases, and only about phrases whose anchor (see windows) occurs in a
-second document. A document that asks is told only whether an earlier one has the phrase: a phrase that a third of
-all documents hold is one entry for each block of documents.
+The reference is all documents: the phrases (strings of `length` consecutive words) of each are indexed in blocks of
+the key space under the first place where they stand, by doc_id and then by word. A document is factored greedily
+from left to right against every reference block that can hold one of its phrases. Where the phrase at hand stands
+in a smaller doc_id, a factor begins there, and it grows by a word as long as the phrase that ends with that word
+stands next in the same reference document; it is copied from (source, place), and at least `length` words long.
+Else the word is a literal. At a factor's boundary the phrases that straddle its end are looked up like all others,
+so a match that begins inside one factor and ends behind it is a factor of its own, which overlaps the one before.
+The words of factors are duplicate spans.
+
+Reference blocks hold the words themselves (passages.Stretches): hashes choose what to compare, each chain of
+phrases is compared with its source word for word, and if one differs the block is indexed by its words instead.
+A hot anchor's stretches with different surroundings all lie in one block; equal ones are one entry.
 
 Nulls: a null text has no words; a row with a null id comes after all others and removes nothing from them. Rows
-with equal ids do not remove each other's words. Texts shorter than a phrase stay whole.
+with equal ids do not remove each other's words. Texts shorter than a phrase stay whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,156 +25,113 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from verity.llm.blocks import binary_rows, by_bucket, deal, groups, id_array, unpack
+from verity.llm import exchange
+from verity.llm.blocks import deal, groups, unpack
 from verity.llm.common import table
-from verity.llm.hashing import U, Words, prefix, ranges
-from verity.llm.windows import Codes, repeated_anchors, sliding_minimum
+from verity.llm.hashing import Words, prefix, ranges
+from verity.llm.passages import NONE, Passages, Runs, chains, flat, runs_of, search, sliding_minimum
 
 GRAM = 8
 
 
-class Phrases:
-    """Phrases of a block: for each its document (place in ids), first word in the document, anchor and hash."""
-
-    def __init__(self, t: pa.Table, length: int, buckets: int):
-        self.length, self.buckets = length, buckets
-        self.ids, self.raw, _ = unpack(t)
-        docs, at, anchors, hashes, words = [], [], [], [], []
-        for a, b in groups(self.raw, 1 << 20):
-            w = Words(self.raw[a:b])
-            n = np.diff(w.first)
-            words.append(n)
-            pre = prefix(w.hash)
-            gram = np.arange(max(0, len(w.hash) - GRAM + 1))
-            low = sliding_minimum(ranges(pre, gram, gram + GRAM), length - GRAM + 1)
-            doc = np.repeat(np.arange(b - a), n)
-            place = np.arange(len(w.hash)) - w.first[doc]
-            ok = np.flatnonzero((place + length <= n[doc])[: len(low)])
-            docs.append(doc[ok] + a)
-            at.append(place[ok])
-            anchors.append(low[ok])
-            hashes.append(ranges(pre, ok, ok + length))
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.doc, self.at, self.anchor, self.hash, self.words = join(docs, np.int64), join(at, np.int64), join(anchors, U), join(hashes, U), join(words, np.int64)
-
-    def codes(self) -> Codes:
-        return codes_of(self.anchor, self.ids[self.doc], self.buckets)
-
-    def keep(self, flags: np.ndarray) -> None:
-        self.doc, self.at, self.anchor, self.hash = self.doc[flags], self.at[flags], self.anchor[flags], self.hash[flags]
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct phrases by bucket and hash, the smallest id of each, and which of them each phrase is."""
-        key = self.hash
-        known, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        least = self.ids[self.doc[first]]  # phrases stand in order of documents, so the first is the smallest id
-        bucket = ((known >> U(20)) % U(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return np.stack([bucket[order].astype(U), known[order]]), least[order], rank[inverse]
-
-
-def codes_of(anchor: np.ndarray, ids: np.ndarray, buckets: int) -> Codes:
-    known, inverse = np.unique(anchor, return_inverse=True)
-    low, high = np.full(len(known), 2**63 - 1, np.int64), np.full(len(known), -(2**63), np.int64)
-    np.minimum.at(low, inverse, ids)
-    np.maximum.at(high, inverse, ids)
-    return Codes(known, low != high, buckets)
-
-
-def factors(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Greedy parse: word spans of the factors, from the ascending starts of phrases found in the reference."""
-    out: list[tuple[int, int]] = []
-    for s in starts.tolist():
-        if out and s <= out[-1][1]:  # grows the factor, or straddles its end
-            out[-1] = (out[-1][0], s + length)
-        else:
-            out.append((s, s + length))
-    return out
-
-
-def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, and the kept words as text if keep_text."""
-    dealt, n = deal(docs, id_col, text_col)
-    anchors = repeated_anchors(dealt, n, lambda t: Phrases(t, length, n).codes())
-
-    def candidates(left: pa.Table, right: pa.Table) -> Phrases:
-        p = Phrases(left, length, n)
-        replies = {r[0]: r[1] for r in binary_rows(right, "bucket", "repeated")}
-        if replies:
-            codes = p.codes()
-            p.keep(codes.lookup(p.anchor, codes.repeated(replies)))
-        else:
-            p.keep(np.zeros(len(p.doc), bool))
-        return p
-
-    message = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("phrases", pa.binary()), ("ids", pa.binary())])
-
-    def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows:
-            known, least, _ = candidates(left, right).distinct()
-            block = left.column("block")[0].as_py()
-            rows = [{"bucket": b, "block": block, "phrases": known[1, i:j].astype("<u8").tobytes(), "ids": least[i:j].astype("<i8").tobytes()} for b, i, j in by_bucket(known[0].astype(np.int64), n)]
-        return pa.Table.from_pylist(rows, schema=message)
-
-    def answer(t: pa.Table) -> pa.Table:
-        """A reference block: the smallest id of each phrase, against the asker's own smallest."""
-        rows = binary_rows(t, "bucket", "block", "phrases", "ids")
-        phrases = [np.frombuffer(r[2], "<u8") for r in rows]
-        ids = np.concatenate([np.frombuffer(r[3], "<i8") for r in rows])
-        known, inverse = np.unique(np.concatenate(phrases), return_inverse=True)
-        least = np.full(len(known), 2**63 - 1, np.int64)
-        np.minimum.at(least, inverse, ids)
-        earlier, at, out = least[inverse] < ids, 0, []
-        for r, p in zip(rows, phrases, strict=True):
-            f = earlier[at : at + len(p)]
-            at += len(p)
-            if f.any():
-                out.append({"bucket": r[0], "block": r[1], "earlier": np.packbits(f).tobytes()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("earlier", pa.binary())]))
-
-    asked = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask, "bucket int, block int, phrases binary, ids binary")
-    answers = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, "bucket int, block int, earlier binary")
-    # Both kinds of replies to a block in one table; `repeated` is null in answers and `earlier` in anchors.
-    replies = anchors.selectExpr("bucket", "block", "repeated", "CAST(NULL AS BINARY) AS earlier").unionByName(answers.selectExpr("bucket", "block", "CAST(NULL AS BINARY) AS repeated", "earlier")).repartition(n, "block")
-
-    def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = binary_rows(right, "bucket", "repeated", "earlier")
-        first = pa.table({"bucket": [r[0] for r in rows if r[1] is not None], "repeated": [r[1] for r in rows if r[1] is not None]})
-        p = candidates(left, first)
-        known, least, which = p.distinct()
-        earlier = np.zeros(known.shape[1], bool)
-        said = {r[0]: r[2] for r in rows if r[2] is not None}
-        for b, i, j in by_bucket(known[0].astype(np.int64), n):
-            if b in said:
-                earlier[i:j] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=j - i).astype(bool)
-        # Told for the block's smallest id; a later document of the block has that one before it.
-        found = earlier[which] | (p.ids[p.doc] > least[which]) if len(which) else np.zeros(0, bool)
-        doc, at = p.doc[found], p.at[found]
-        edge = np.searchsorted(doc, np.arange(len(p.ids) + 1))
-        removed, digests, kept = [], [], []
-        for i, t in enumerate(p.raw):
-            words, gone = t.split(), 0
-            if edge[i + 1] > edge[i]:
-                left_over, last = [], 0
-                for s, e in factors(at[edge[i] : edge[i + 1]], length):
-                    left_over += words[last:s]
-                    gone, last = gone + e - s, e
-                words = left_over + words[last:]
-            text = b" ".join(words)
-            removed.append(gone)
+def phrase_runs(t: pa.Table, length: int) -> Runs:
+    """Runs of phrases of a block's documents; a stretch is its words joined by one blank."""
+    block, parts, gram = unpack(t), [], min(GRAM, length)
+    for a, b in groups(block.raw, 1 << 20):
+        w = Words(block.raw[a:b])
+        at = np.arange(max(0, len(w.hash) - gram + 1))
+        low = sliding_minimum(ranges(prefix(w.hash), at, at + gram), length - gram + 1)
+        doc, first, last, anchor = runs_of(low, w.first[:-1], np.diff(w.first), length)
+        parts.append((doc + a, first, last, anchor))
+    held: dict[int, list[bytes]] = {}  # the words of the document at hand
+
+    def cut(doc: int, first: int, last: int) -> bytes:
+        if doc not in held:
+            held.clear()
+            held[doc] = block.raw[doc].split()
+        return b" ".join(held[doc][first : last + length])
+
+    return Runs.join(block, parts, cut)
+
+
+def first_places(p: Passages, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each phrase of the stretches, where it stands first if that is a smaller doc_id."""
+    w = Words(p.parts)
+    start = flat(w.first[:-1], p.windows)  # word at which each phrase begins
+    hashes = ranges(prefix(w.hash), start, start + length)
+    ids, at = np.repeat(p.ids, p.windows), flat(p.at, p.windows)
+    order = np.lexsort((at, ids, hashes))
+    new = np.diff(hashes[order], prepend=hashes[order[0]] ^ hashes.dtype.type(1)) != 0
+    owner = np.empty(len(order), np.int64)
+    owner[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    found = np.flatnonzero(ids[owner] < ids)
+    # Whole chains are compared at once: consecutive phrases whose first places are consecutive in one stretch.
+    stretch = np.repeat(np.arange(len(p.parts)), p.windows)
+    edge = np.flatnonzero(chains(found, stretch[owner[found]], owner[found], stretch[found]))
+    a, b = found[edge], found[np.append(edge[1:], len(found)) - 1] if len(edge) else found
+    begin, end = w.start, w.end
+    for x, y, u, v in zip(begin[start[a]].tolist(), end[start[b] + length - 1].tolist(), begin[start[owner[a]]].tolist(), end[start[owner[b]] + length - 1].tolist(), strict=True):
+        if w.raw[x:y] != w.raw[u:v]:
+            return first_places_by_words(p, length)
+    sid, sat = np.full(len(ids), NONE, np.int64), np.zeros(len(ids), np.int64)
+    sid[found], sat[found] = ids[owner[found]], at[owner[found]]
+    return sid, sat
+
+
+def first_places_by_words(p: Passages, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the words themselves as keys: for a block in which two phrases share a hash."""
+    words = [x.split(b" ") for x in p.parts]
+    each = [(tuple(w[k : k + length]), i, a + k) for w, n, i, a in zip(words, p.windows.tolist(), p.ids.tolist(), p.at.tolist(), strict=True) for k in range(n)]
+    first: dict[tuple, tuple[int, int]] = {}
+    for phrase, i, a in each:
+        first[phrase] = min(first.get(phrase, (i, a)), (i, a))
+    told = [first[phrase] if first[phrase][0] < i else (NONE, 0) for phrase, i, _ in each]
+    return np.array([i for i, _ in told], np.int64), np.array([a for _, a in told], np.int64)
+
+
+def factors(doc: np.ndarray, at: np.ndarray, sid: np.ndarray, sat: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Greedy parse, from the found phrases in order of document and place: (document, first word, words, source,
+    first word there) of each factor."""
+    edge = np.flatnonzero(chains(at, sid, sat, doc))
+    count = np.diff(np.append(edge, len(at)))
+    return doc[edge], at[edge], count + length - 1, sid[edge], sat[edge]
+
+
+FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
+
+
+def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, fan_bits: int = exchange.FAN_BITS) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, and with keep_text the kept words as text
+    (`kept`) and the document's `factors` in order (start, words, source, source_start)."""
+
+    def finish(runs: Runs, sid: np.ndarray, sat: np.ndarray) -> pa.Table:
+        block, found = runs.block, np.flatnonzero(sid != NONE)
+        windows = runs.last - runs.first + 1
+        spans = factors(np.repeat(runs.doc, windows)[found], flat(runs.first, windows)[found], sid[found], sat[found], length)
+        edge = np.searchsorted(spans[0], np.arange(len(block.raw) + 1))
+        n, removed, digests, kept, shown = [], [], [], [], []
+        for i, t in enumerate(block.raw):
+            words, mine = t.split(), list(zip(*(x[edge[i] : edge[i + 1]].tolist() for x in spans[1:]), strict=True))
+            n.append(len(words))
+            left, last = [], 0
+            for start, size, *_ in mine:
+                left += words[last:start]
+                last = max(last, start + size)
+            left += words[last:]
+            text = b" ".join(left)
+            removed.append(len(words) - len(left))
             digests.append(hashlib.sha256(text).hexdigest())
             if keep_text:
                 kept.append(text.decode())
-        cols = [id_array(p.ids), pa.array(p.words), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+                shown.append([dict(zip(("start", "words", "source", "source_start"), f, strict=True)) for f in mine])
+        cols = [block.id_array(), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         if keep_text:
-            cols, names = [*cols, pa.array(kept, pa.string())], [*names, "kept"]
+            cols, names = [*cols, pa.array(kept, pa.string()), pa.array(shown, FACTORS)], [*names, "kept", "factors"]
         return pa.Table.from_arrays(cols, names)
 
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, factors array<struct<start: long, words: long, source: long, source_start: long>>" * keep_text
+    return search(docs, id_col, text_col, lambda t: phrase_runs(t, length), lambda p: first_places(p, length), finish, schema, fan_bits=fan_bits, deal=deal)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

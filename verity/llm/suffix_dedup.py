@@ -1,18 +1,17 @@
 """Operator 6: suffix-array dedup with longest-previous-factor arrays.
 
 Strings of `length` bytes that occur in an earlier document are removed, the first copy stays. A block cuts the
-stretches of its texts whose windows share an anchor (see windows) that a second document has; equal stretches of
-a block are one entry under the smallest doc_id. A bucket gets all stretches of its anchors, and since equal
-strings have equal anchors, it holds all occurrences of each of its strings. There the suffixes that begin a
-window are sorted (the suffix array, compared as far as a window reaches), neighbours get their common prefix, and
-the longest previous factor of each suffix is found over the previous and the next smaller document in suffix
-order. A factor of a whole window means that the string starts in an earlier document.
+stretches of its texts whose windows share an anchor that a second document has (see passages); equal stretches are
+one entry under the smallest doc_id. All occurrences of a string meet in the part of the key space of its anchor.
+There the suffixes that begin a window are sorted (the suffix array, compared as far as a window reaches),
+neighbours get their common prefix, and the longest previous factor of each suffix is found over the previous and the
+next smaller document in suffix order. A factor of a whole window means that the string starts in an earlier document.
 
 A passage that a third of all documents hold is one stretch for each block. Texts are compared by their bytes;
-hashes only choose where to compare (and tell a block's own stretches apart).
+hashes only choose where to compare.
 
 Nulls: a null text is empty; a row with a null id comes after all others and removes nothing from them. Rows with
-equal ids do not remove each other's bytes. Texts shorter than a window stay whole.
+equal ids do not remove each other's bytes. Texts shorter than a window stay whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,92 +22,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from verity.llm.blocks import binary_rows, by_bucket, deal, groups, id_array, pack_uints, unpack, unpack_uints
+from verity.llm import exchange
+from verity.llm.blocks import deal, groups, unpack
 from verity.llm.common import table
 from verity.llm.hashing import BYTE, U, prefix, ranges
-from verity.llm.rlz_dedup import codes_of
-from verity.llm.windows import Codes, repeated_anchors, sliding_minimum
+from verity.llm.passages import NONE, Passages, Runs, flat, runs_of, search, sliding_minimum
 
 GRAM = 24
 PIECE = 256 << 10
 
 
-class Texts:
-    """Runs of windows with one anchor: document, first and last window start in it, anchor."""
-
-    def __init__(self, t: pa.Table, length: int, buckets: int):
-        self.length, self.buckets = length, buckets
-        self.ids, self.raw, self.rows = unpack(t)
-        docs, first, last, anchors = [], [], [], []
-        for a, b in groups(self.raw, PIECE):
-            joined = np.frombuffer(b"".join(self.raw[a:b]), np.uint8)
-            if len(joined) < length:
-                continue
-            size = np.array([len(t) for t in self.raw[a:b]], np.int64)
-            begin = np.cumsum(size) - size
-            pre = prefix(BYTE[joined])
-            at = np.arange(len(joined) - GRAM + 1)
-            low = sliding_minimum(ranges(pre, at, at + GRAM), length - GRAM + 1)
-            # A run ends where the anchor changes and where a text's last window is.
-            new = np.ones(len(low), bool)
-            new[1:] = low[1:] != low[:-1]
-            new[begin[begin < len(low)]] = True
-            behind = begin + np.maximum(size - length + 1, 0)
-            new[behind[behind < len(low)]] = True
-            start = np.flatnonzero(new)
-            end = np.append(start[1:], len(low))
-            doc = np.searchsorted(begin, start, side="right") - 1
-            ok = (size[doc] >= length) & (start < begin[doc] + size[doc] - length + 1)
-            start, end, doc = start[ok], end[ok], doc[ok]
-            docs.append(doc + a)
-            first.append(start - begin[doc])
-            last.append(end - 1 - begin[doc])
-            anchors.append(low[start])
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.doc, self.first, self.last, self.anchor = join(docs, np.int64), join(first, np.int64), join(last, np.int64), join(anchors, U)
-
-    def codes(self) -> Codes:
-        return codes_of(self.anchor, self.ids[self.doc], self.buckets)
-
-    def keep(self, flags: np.ndarray) -> None:
-        self.doc, self.first, self.last, self.anchor = self.doc[flags], self.first[flags], self.last[flags], self.anchor[flags]
-
-    def stretches(self) -> Stretches:
-        parts = [self.raw[d][a:b] for d, a, b in zip(self.doc.tolist(), self.first.tolist(), (self.last + self.length).tolist(), strict=True)]
-        return Stretches(self, parts)
-
-
-class Stretches:
-    """Distinct stretches of a block by bucket, with the smallest id and the anchor's code of each."""
-
-    def __init__(self, texts: Texts, parts: list[bytes]):
-        self.parts, place, first = distinct(parts)
-        bucket = ((texts.anchor >> U(32)) % U(texts.buckets)).astype(np.int64)[first]
-        order = sorted(range(len(self.parts)), key=self.parts.__getitem__)
-        order = np.array(order, np.int64)[np.argsort(bucket[order], kind="stable")] if order else np.zeros(0, np.int64)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.parts = [self.parts[i] for i in order.tolist()]
-        first = first[order]
-        self.bucket, self.which = bucket[order], rank[place]
-        self.least = texts.ids[texts.doc[first]]  # runs stand in order of documents: the first has the smallest id
-        self.code = (texts.anchor[first] & U(0xFFFFFFFF)).astype("<u4")
-        self.windows = np.array([len(p) - texts.length + 1 for p in self.parts], np.int64)
-
-
-def distinct(parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct strings, which of them each one is, and where each first stands."""
-    known: dict[bytes, int] = {}
-    place = np.array([known.setdefault(p, len(known)) for p in parts], np.int64)
-    first = np.zeros(len(known), np.int64)
-    first[place[::-1]] = np.arange(len(parts))[::-1]
-    return list(known), place, first
-
-
-def flat(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... count[i] of them, for each i."""
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+def window_runs(t: pa.Table, length: int) -> Runs:
+    """Runs of windows of a block's texts; a stretch is its bytes."""
+    block, parts, gram = unpack(t), [], min(GRAM, length)
+    for a, b in groups(block.raw, PIECE):
+        joined = np.frombuffer(b"".join(block.raw[a:b]), np.uint8)
+        if len(joined) < length:
+            continue
+        size = np.array([len(x) for x in block.raw[a:b]], np.int64)
+        at = np.arange(len(joined) - gram + 1)
+        low = sliding_minimum(ranges(prefix(BYTE[joined]), at, at + gram), length - gram + 1)
+        doc, first, last, anchor = runs_of(low, np.cumsum(size) - size, size, length)
+        parts.append((doc + a, first, last, anchor))
+    return Runs.join(block, parts, lambda doc, first, last: block.raw[doc][first : last + length])
 
 
 def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,94 +98,33 @@ def previous_factors(docs: np.ndarray, common: np.ndarray, length: int) -> np.nd
     return best
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also `kept` (what
-    remains as text; bytes of a character cut in two are dropped) and `row` (the other columns as they came)."""
-    dealt, n = deal(docs, id_col, text_col, carry=True) if keep_text else deal(docs, id_col, text_col)
-    anchors = repeated_anchors(dealt, n, lambda t: Texts(t, length, n).codes())
-
-    def candidates(left: pa.Table, replies: dict[int, bytes]) -> Texts:
-        t = Texts(left, length, n)
-        codes = t.codes() if replies else None
-        t.keep(codes.lookup(t.anchor, codes.repeated(replies)) if replies else np.zeros(len(t.doc), bool))
-        return t
+def earlier_windows(p: Passages, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of the stretches whether an earlier document has it: any id but NONE (places are not told)."""
+    data = np.frombuffer(b"".join(p.parts), np.uint8)
+    lengths = p.windows + length - 1
+    order, common = suffix_order(data, flat(np.cumsum(lengths) - lengths, p.windows), length)
+    found = np.zeros(len(order), bool)
+    found[order] = previous_factors(np.repeat(p.ids, p.windows)[order], common, length) >= length
+    return np.where(found, 0, NONE), flat(np.zeros(len(p.parts), np.int64), p.windows)
 
-    message = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("parts", pa.binary()), ("windows", pa.binary()), ("ids", pa.binary()), ("codes", pa.binary())])
 
-    def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            s = candidates(left, dict(binary_rows(right, "bucket", "repeated"))).stretches()
-            block = left.column("block")[0].as_py()
-            rows = [{"bucket": b, "block": block, "parts": b"".join(s.parts[i:j]), "windows": pack_uints(s.windows[i:j]), "ids": s.least[i:j].astype("<i8").tobytes(), "codes": s.code[i:j].tobytes()} for b, i, j in by_bucket(s.bucket, n)]
-        return pa.Table.from_pylist(rows, schema=message)
-
-    def answer(t: pa.Table) -> pa.Table:
-        rows = binary_rows(t, "bucket", "block", "parts", "windows", "ids", "codes")
-        doc = np.concatenate([np.frombuffer(r[4], "<i8") for r in rows])
-        count = np.concatenate([unpack_uints(r[3], len(r[4]) // 8) for r in rows])
-        ends = np.cumsum(count + length - 1).tolist()
-        joined = b"".join(r[2] for r in rows)
-        parts, place, first = distinct([joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        least = np.full(len(parts), 2**63 - 1, np.int64)
-        np.minimum.at(least, place, doc)
-        # Strings of a stretch recur only in other stretches of its anchor: a stretch that is alone with its anchor
-        # (all copies of it being equal) needs no sorting.
-        code = np.concatenate([np.frombuffer(r[5], "<u4") for r in rows])[first]
-        _, group, size = np.unique(code, return_inverse=True, return_counts=True)
-        windows = count[first]
-        edge = np.concatenate([[0], np.cumsum(windows)])
-        earlier = np.zeros(int(edge[-1]), bool)
-        crowd = np.flatnonzero(size[group] > 1)
-        if len(crowd):
-            w = windows[crowd]
-            data = np.frombuffer(b"".join([parts[i] for i in crowd.tolist()]), np.uint8)
-            lengths = w + length - 1
-            order, common = suffix_order(data, flat(np.cumsum(lengths) - lengths, w), length)
-            found = previous_factors(np.repeat(least[crowd], w)[order], common, length) >= length
-            earlier[flat(edge[crowd], w)[order]] = found
-        # A stretch that came with a later document than its first copy is found as a whole.
-        said = np.repeat(doc > least[place], count) | earlier[flat(edge[place], count)]
-        at, out = 0, []
-        cuts = np.cumsum(count)
-        done = 0
-        for r in rows:
-            done += len(r[4]) // 8
-            f, at = said[at : int(cuts[done - 1])], int(cuts[done - 1])
-            if f.any():
-                out.append({"bucket": r[0], "block": r[1], "earlier": np.packbits(f).tobytes()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("earlier", pa.binary())]))
-
-    asked = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask, "bucket int, block int, parts binary, windows binary, ids binary, codes binary")
-    answers = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, "bucket int, block int, earlier binary")
-    replies = anchors.selectExpr("bucket", "block", "repeated", "CAST(NULL AS BINARY) AS earlier").unionByName(answers.selectExpr("bucket", "block", "CAST(NULL AS BINARY) AS repeated", "earlier")).repartition(n, "block")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, fan_bits: int = exchange.FAN_BITS) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also `kept` (what
+    remains as text; bytes of a character cut in two are dropped) and `row` (the other columns as they came)."""
 
-    def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = binary_rows(right, "bucket", "repeated", "earlier")
-        t = candidates(left, {r[0]: r[1] for r in rows if r[1] is not None})
-        s = t.stretches()
-        edge = np.concatenate([[0], np.cumsum(s.windows)])
-        earlier = np.zeros(int(edge[-1]), bool)
-        said = {r[0]: r[2] for r in rows if r[2] is not None}
-        for b, i, j in by_bucket(s.bucket, n):
-            if b in said:
-                earlier[edge[i] : edge[j]] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=int(edge[j] - edge[i])).astype(bool)
-        # Told for the block's smallest id; a later document of the block has that one before it.
-        later = t.ids[t.doc] > s.least[s.which]
-        size = np.array([len(x) for x in t.raw], np.int64)
+    def finish(runs: Runs, sid: np.ndarray, sat: np.ndarray) -> pa.Table:
+        block = runs.block
+        size = np.array([len(x) for x in block.raw], np.int64)
         base = np.cumsum(size) - size
-        start = base[t.doc] + t.first
+        windows = runs.last - runs.first + 1
+        hit = (np.repeat(base[runs.doc], windows) + flat(runs.first, windows))[sid != NONE]
         mark = np.zeros(int(size.sum()) + 1, np.int32)
-        np.add.at(mark, start[later], 1)
-        np.add.at(mark, (start + t.last - t.first + length)[later], -1)
-        w = s.windows[s.which[~later]]
-        hit = flat(start[~later], w)[earlier[flat(edge[s.which[~later]], w)]]
         np.add.at(mark, hit, 1)
         np.add.at(mark, hit + length, -1)
         cover = np.cumsum(mark[:-1], dtype=np.int32) > 0
-        touched = np.bincount(t.doc, minlength=len(t.ids))
+        touched = np.bincount(runs.doc, minlength=len(block.raw))
         gone, spans, digests, kept = [], [], [], []
-        for i, text in enumerate(t.raw):
+        for i, text in enumerate(block.raw):
             n_gone = n_spans = 0
             if touched[i]:
                 mine = cover[base[i] : base[i] + size[i]]
@@ -260,24 +137,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             digests.append(hashlib.sha256(text).hexdigest())
             if keep_text:
                 kept.append(text.decode(errors="ignore"))
-        cols = [id_array(t.ids), pa.array([len(x) for x in t.raw], pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+        cols = [block.id_array(), pa.array(size), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if keep_text:
-            cols, names = [*cols, pa.array(kept, pa.string()), t.rows], [*names, "kept", "row"]
+            cols, names = [*cols, pa.array(kept, pa.string()), block.rows], [*names, "kept", "row"]
         return pa.Table.from_arrays(cols, names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if keep_text:
-        kind = docs.select(F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")).schema["row"].dataType
-        schema += f", kept string, row {kind.simpleString()}"
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+        schema = schema.add("kept", "string").add("row", T.StructType([docs.schema[c] for c in docs.columns if c != text_col]))
+    return search(docs, id_col, text_col, lambda t: window_runs(t, length), lambda p: earlier_windows(p, length), finish, schema, keep_text, fan_bits, deal)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = 50) -> DataFrame:
     """The rows of docs with what remains of their texts (a null text becomes empty), and its characters counted."""
     left = remove_repeats(docs, id_col, text_col, length, keep_text=True)
     new = {text_col: F.col("kept")} | ({length_col: F.char_length("kept").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
-    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return left.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
