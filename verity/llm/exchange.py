@@ -119,7 +119,8 @@ def joined(kind, t: pa.Table, part: str = "digit"):
 class Counts:
     """A request: sorted distinct 64-bit keys and a number for each; the reply: each key's sum over all requests.
 
-    Keys travel as differences, in as few bytes each as the largest needs.
+    Keys travel as differences, without the zero bits that all of them end with, in as many bytes each as makes
+    them smallest; a difference that does not fit is all ones there and follows in eight bytes.
     """
 
     def __init__(self, summary=None):
@@ -128,20 +129,25 @@ class Counts:
     @staticmethod
     def pack(request) -> bytes:
         key, value = request
-        gap = np.diff(key, prepend=U(0))
-        width = max(1, (int(gap[1:].max(initial=U(0))).bit_length() + 7) // 8)
-        head = np.array([len(key), width, 0], "<u8")
-        head[2] = gap[0]
-        tail = gap[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-        return head.tobytes() + tail + pack_uints(value)
+        every = int(np.bitwise_or.reduce(key))
+        zeros = (every & -every).bit_length() - 1 if every else 0
+        gap = np.diff(key >> U(zeros), prepend=U(0))
+        tops = [U((1 << 8 * w) - 1) for w in range(1, 9)]
+        width = min(range(1, 9), key=lambda w: w * len(gap) + 8 * int((gap >= tops[w - 1]).sum()))
+        far = gap >= tops[width - 1]
+        near = np.where(far, tops[width - 1], gap).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        head = np.array([len(key), width, zeros, int(far.sum())], "<u8")
+        return b"".join([head.tobytes(), near.tobytes(), gap[far].astype("<u8").tobytes(), pack_uints(value)])
 
     @staticmethod
     def unpack(data: bytes):
-        n, width, first = (int(x) for x in np.frombuffer(data, "<u8", 3))
+        n, width, zeros, far = (int(x) for x in np.frombuffer(data, "<u8", 4))
         gap = np.zeros((n, 8), np.uint8)
-        gap[0] = np.frombuffer(np.array([first], "<u8").tobytes(), np.uint8)
-        gap[1:, :width] = np.frombuffer(data, np.uint8, (n - 1) * width, 24).reshape(-1, width)
-        return np.cumsum(gap.view("<u8").ravel(), dtype=U), unpack_uints(data[24 + (n - 1) * width :], n)
+        gap[:, :width] = np.frombuffer(data, np.uint8, n * width, 32).reshape(-1, width)
+        gap = gap.view("<u8").ravel()
+        at = 32 + n * width
+        gap[gap == U((1 << 8 * width) - 1)] = np.frombuffer(data, "<u8", far, at)
+        return np.cumsum(gap, dtype=U) << U(zeros), unpack_uints(data[at + 8 * far :], n)
 
     @staticmethod
     def split(request, bits: int, used: int):

@@ -41,13 +41,19 @@ from verity.llm.hashing import U, Words, mix, segment_sums
 
 START, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 #: Text of a block: its n-grams take about 60 times as much memory.
-BLOCK_BYTES = 4 << 20
-#: The low bits of an n-gram's key are its order less one.
+BLOCK_BYTES = 6 << 20
+SPARE_BITS = 20
+#: Bits of a key for the order less one, so the largest order is 8.
 ORDER_BITS = 3
 #: Counts up to here are told apart in the counts of counts; larger ones fall in 16 classes for each power of two.
 EXACT = 256
 
 
+def order_of(key: np.ndarray, bits: int) -> np.ndarray:
+    """Order less one."""
+    return (key >> U(64 - bits - ORDER_BITS)).astype(np.int64) & ((1 << ORDER_BITS) - 1)
+
+
 @dataclasses.dataclass
 class Grams:
     """Tokens of a block's texts, and the distinct n-grams that end at them."""
@@ -63,7 +69,8 @@ class Grams:
     gram: list[np.ndarray]  # of each order, which n-gram ends at each token; -1: that would begin before the text's start
 
     @classmethod
-    def of(cls, t: pa.Table, order: int, modulus: int, held: int) -> Grams:
+    def of(cls, t: pa.Table, order: int, modulus: int, held: int, bits: int = 48) -> Grams:
+        """bits: of a hash. A key has those, then the order less one, then zeros."""
         block = unpack(t)
         held_out = np.array([crc_mod_py(None if x else i, modulus) == held for i, x in zip(block.ids.tolist(), block.null.tolist(), strict=True)], bool)
         tokens, counts = [], []
@@ -77,7 +84,7 @@ class Grams:
         token, count = np.concatenate(tokens), np.concatenate(counts)
         first = np.cumsum(count) - count
         place = np.arange(len(token)) - np.repeat(first, count)
-        keys, ends, hashed = [], [], token
+        keys, ends, hashed, low = [], [], token, 64 - bits - ORDER_BITS
         for k in range(order):
             if k:  # the n-gram of k words that ends a token earlier, and this token
                 before = np.append(U(0), hashed[:-1])
@@ -85,7 +92,7 @@ class Grams:
                     before[first] = START
                 hashed = mix(before * U(0x9E3779B97F4A7C15) ^ token)
             ok = np.flatnonzero(place >= k - 1)
-            keys.append(mix(hashed[ok] + U(k)) >> U(ORDER_BITS) << U(ORDER_BITS) | U(k))
+            keys.append(mix(hashed[ok] + U(k)) >> U(64 - bits) << U(64 - bits) | U(k << low))
             ends.append(ok)
         sizes = [len(x) for x in keys]
         at = np.concatenate(ends)
@@ -96,7 +103,7 @@ class Grams:
             g = np.full(len(token), -1, np.int64)
             g[ok] = inv
             gram.append(g)
-        return cls(block, held_out, count, first, key, train, (key & U((1 << ORDER_BITS) - 1)).astype(np.int64) + 1, at[one], gram)
+        return cls(block, held_out, count, first, key, train, order_of(key, bits) + 1, at[one], gram)
 
 
 class Automaton:
@@ -169,10 +176,10 @@ def classes(total: np.ndarray) -> np.ndarray:
     return np.where(total < EXACT, total, EXACT + exp * 16 + (total >> np.maximum(exp - 5, 0)) % 16)
 
 
-def counted(key: np.ndarray, total: np.ndarray) -> bytes:
+def counted(key: np.ndarray, total: np.ndarray, bits: int) -> bytes:
     """Of each order and class of counts: distinct n-grams and their occurrences, as rows of four numbers."""
     some = total > 0
-    total, order = total[some], (key[some] & U((1 << ORDER_BITS) - 1)).astype(np.int64)
+    total, order = total[some], order_of(key[some], bits)
     both, place = np.unique(order << 32 | classes(total), return_inverse=True)
     return np.stack([both >> 32, both & 0xFFFFFFFF, np.bincount(place, minlength=len(both)), np.bincount(place, total, len(both)).astype(np.int64)], axis=1).astype("<i8").tobytes()
 
@@ -209,10 +216,11 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held: int = 0, order: int = 3, fan_bits: int = exchange.FAN_BITS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     dealt, n = deal(docs, id_col, text_col, BLOCK_BYTES)
-    kind = exchange.Counts(counted)
+    bits = min(64 - ORDER_BITS, SPARE_BITS + (order * n * BLOCK_BYTES // 6).bit_length())
+    kind = exchange.Counts(lambda key, total: counted(key, total, bits))
 
     def ask(t: pa.Table) -> pa.Table:
-        g = Grams.of(t, order, modulus, held)
+        g = Grams.of(t, order, modulus, held, bits)
         return exchange.messages(kind, (g.key, g.train), t.column("block")[0].as_py(), n, fan_bits)
 
     answers = cut(exchange.answers(dealt.groupBy("block").applyInArrow(ask, exchange.ROW), kind, n, fan_bits))
@@ -223,7 +231,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], f.type) for f in OUT], schema=OUT)
-        g = Grams.of(left, order, modulus, held)
+        g = Grams.of(left, order, modulus, held, bits)
         count = exchange.joined(kind, right)
         last = g.gram[0][g.first + g.count - 1]  # the end token: once in every text
         model = Automaton(g, count, train, types, int(count[last[0]]), strength)

@@ -45,10 +45,11 @@ def flat(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def runs_of(low: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(low: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor in texts that lie one after another: (text, first window, last window, anchor).
 
-    low: anchor of the window at each place; begin, size: of each text, in symbols.
+    low: anchor of the window at each place; begin, size: of each text, in symbols. A run has at most `most` windows,
+    as many as can share one place of an anchor: a text that says the same over and over is cut in equal stretches.
     """
     new = np.ones(len(low), bool)
     new[1:] = low[1:] != low[:-1]
@@ -63,6 +64,9 @@ def runs_of(low: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -
     text = some[np.maximum(np.searchsorted(begin[some], start, side="right") - 1, 0)]
     ok = (start >= begin[text]) & (start < begin[text] + size[text] - length + 1)
     start, end, text = start[ok], end[ok], text[ok]
+    pieces = -(-(end - start) // most)
+    start = np.repeat(start, pieces) + most * flat(np.zeros(len(pieces), np.int64), pieces)
+    end, text = np.minimum(start + most, np.repeat(end, pieces)), np.repeat(text, pieces)
     return text, start - begin[text], end - 1 - begin[text], low[start]
 
 

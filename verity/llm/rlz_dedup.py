@@ -1,7 +1,7 @@
 """Operator 2: substring dedup by relative Lempel-Ziv parsing.
 
 The reference is all documents: the phrases (strings of `length` consecutive words) of each are indexed in blocks of
-the key space under the first place where they stand, by doc_id and then by word. A document is factored greedily
+the key space under the smallest doc_id in which they stand, with a place there. A document is factored greedily
 from left to right against every reference block that can hold one of its phrases. Where the phrase at hand stands
 in a smaller doc_id, a factor begins there, and it grows by a word as long as the phrase that ends with that word
 stands next in the same reference document; it is copied from (source, place), and at least `length` words long.
@@ -41,7 +41,7 @@ def phrase_runs(t: pa.Table, length: int) -> Runs:
         w = Words(block.raw[a:b])
         at = np.arange(max(0, len(w.hash) - gram + 1))
         low = sliding_minimum(ranges(prefix(w.hash), at, at + gram), length - gram + 1)
-        doc, first, last, anchor = runs_of(low, w.first[:-1], np.diff(w.first), length)
+        doc, first, last, anchor = runs_of(low, w.first[:-1], np.diff(w.first), length, length - gram + 1)
         parts.append((doc + a, first, last, anchor))
     held: dict[int, list[bytes]] = {}  # the words of the document at hand
 

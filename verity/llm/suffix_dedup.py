@@ -44,7 +44,7 @@ def window_runs(t: pa.Table, length: int) -> Runs:
         size = np.array([len(x) for x in block.raw[a:b]], np.int64)
         at = np.arange(len(joined) - gram + 1)
         low = sliding_minimum(ranges(prefix(BYTE[joined]), at, at + gram), length - gram + 1)
-        doc, first, last, anchor = runs_of(low, np.cumsum(size) - size, size, length)
+        doc, first, last, anchor = runs_of(low, np.cumsum(size) - size, size, length, length - gram + 1)
         parts.append((doc + a, first, last, anchor))
     return Runs.join(block, parts, lambda doc, first, last: block.raw[doc][first : last + length])
 
