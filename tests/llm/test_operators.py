@@ -224,7 +224,7 @@ def test_rlz_dedup(docs, many_blocks):
         kept = b" ".join(x for x, c in zip(w, cover, strict=True) if not c)
         want.append((i, len(w), sum(cover), hashlib.sha256(kept).hexdigest()))
     assert sum(r[2] for r in want) > 1000
-    assert listed(rlz_dedup.parse(df), "doc_id", "n_words", "n_removed", "kept_sha256") == expect(want)
+    assert listed(rlz_dedup.parse(df, hot=4), "doc_id", "n_words", "n_removed", "kept_sha256") == expect(want)
     assert rlz_dedup.parse(empty(docs)).collect() == []
 
 
@@ -282,7 +282,7 @@ def test_suffix_dedup(docs, many_blocks):
         spans = sum(c and not p for p, c in zip([False, *cover], cover, strict=False))
         want.append((i, len(b), sum(cover), spans, hashlib.sha256(kept).hexdigest()))
     assert sum(r[2] for r in want) > 5000
-    assert listed(suffix_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(want)
+    assert listed(suffix_dedup.remove_repeats(df, hot=4), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(want)
     assert suffix_dedup.remove_repeats(empty(docs)).collect() == []
 
 

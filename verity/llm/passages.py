@@ -1,11 +1,18 @@
 """Repeated passages: which windows of a document also start in an earlier one, and where.
 
 A window of `length` symbols has as its anchor the smallest hash of the `gram`-symbol runs in it. Equal windows have
-equal anchors, wherever they stand, and neighbouring windows mostly share one. So blocks first ask which of their
-anchors a second document has (exchange.Counts), cut the stretches of their texts whose windows share such an
-anchor, and ask about those (kind Stretches below): all occurrences of a window meet in the part of the key space of
-its anchor, where an operator's own `find` compares them by what they say. Equal stretches of a block or a team are
-one entry under the first document that has them.
+equal anchors, wherever they stand, and neighbouring windows mostly share one. A block goes through three rounds:
+
+1. It asks how often each of its anchors occurs (exchange.Counts). Windows whose anchor no second document has are done.
+2. Some anchors occur very often (over HOT times: a line that many documents hold), mostly in windows that reach
+   beyond the line and so differ. Of those anchors it asks about each window's own hash, and drops windows that no
+   second document has: what is left of a line is what its holders have in common.
+3. It cuts the stretches of its texts whose windows are left and asks about those (kind Stretches below): all
+   occurrences of a window meet in the part of the key space of its anchor, where an operator's own `find` compares
+   them by what they say. Equal stretches of a block or a team are one entry under the first document that has them.
+
+HOT only says which windows are looked at twice; it does not change a result. An anchor that is hot in windows that do
+repeat, each in a few documents (a line in many documents, each of which has a copy), is not divided further.
 """
 
 from __future__ import annotations
@@ -24,6 +31,8 @@ from verity.llm.blocks import LAST_ID, PARTITIONS, Block, deal
 from verity.llm.exchange import Counts, ranges_of
 
 NONE = LAST_ID
+HOT = 2000
+BLOCK_BYTES = 4 << 20
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,17 +96,29 @@ class Runs:
         return cls(block, *(np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)), cut)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, 1 or (if documents of different ids have it) 2 for each, and which of them each run has."""
+        """Distinct anchors, how many runs each has (1 if all are of one id), and which of them each run has."""
         known, place = np.unique(self.anchor, return_inverse=True)
         low, high = np.full(len(known), LAST_ID, np.int64), np.full(len(known), -(2**63), np.int64)
         ids = self.block.ids[self.doc]
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
-        return known, np.where(low != high, 2, 1), place
+        return known, np.where(low != high, np.bincount(place, minlength=len(known)), 1), place
 
     def keep(self, flags: np.ndarray) -> Runs:
         return dataclasses.replace(self, doc=self.doc[flags], first=self.first[flags], last=self.last[flags], anchor=self.anchor[flags])
 
+    def only(self, hot: np.ndarray, flags: np.ndarray) -> Runs:
+        """Without those windows of hot runs (one after another) that are not flagged; runs stay in order."""
+        some = self.keep(hot)
+        windows = some.last - some.first + 1
+        run, at = np.repeat(np.arange(len(some.doc)), windows)[flags], flat(some.first, windows)[flags]
+        new = np.flatnonzero((np.diff(run, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+        end = at[np.append(new[1:], len(at)) - 1] if len(new) else at[:0]
+        cold = self.keep(~hot)
+        doc, first, last, anchor = (np.append(x, y) for x, y in ((cold.doc, some.doc[run[new]]), (cold.first, at[new]), (cold.last, end), (cold.anchor, some.anchor[run[new]])))
+        order = np.lexsort((first, doc))
+        return dataclasses.replace(self, doc=doc[order], first=first[order], last=last[order], anchor=anchor[order])
+
     def stretches(self) -> Passages:
         parts = [self.cut(d, a, b) for d, a, b in zip(self.doc.tolist(), self.first.tolist(), self.last.tolist(), strict=True)]
         return Passages(self.anchor, parts, self.last - self.first + 1, self.block.ids[self.doc], self.first)
@@ -226,40 +247,72 @@ def chains(where: np.ndarray, sid: np.ndarray, sat: np.ndarray, *more: np.ndarra
     return new
 
 
-def search(docs: DataFrame, id_col: str, text_col: str, runs: Callable[[pa.Table], Runs], find, finish, schema, carry: bool = False, fan_bits: int = exchange.FAN_BITS, deal=deal) -> DataFrame:
-    """finish(runs, ids, places) of each block -> table of `schema`: its runs whose anchor a second document has, and
-    for each of their windows, one after another, an earlier document's id and place or NONE."""
-    dealt, n = deal(docs, id_col, text_col, carry=carry)
+def search(docs: DataFrame, id_col: str, text_col: str, runs: Callable[[pa.Table], Runs], hashes, find, finish, schema, carry: bool = False, fan_bits: int = exchange.FAN_BITS, hot: int = HOT, deal=deal) -> DataFrame:
+    """finish(runs, ids, places) of each block -> table of `schema`: its runs that may repeat, and for each of their
+    windows, one after another, an earlier document's id and place or NONE. hashes(passages) -> hash of each window."""
+    dealt, n = deal(docs, id_col, text_col, BLOCK_BYTES, carry=carry)
     counts, stretches = Counts(), Stretches(find)
+    none = exchange.rows([])
+
+    def ask(request, kind, t: pa.Table) -> pa.Table:
+        return exchange.messages(kind, request, t.column("block")[0].as_py(), n, fan_bits)
 
     def ask_anchors(t: pa.Table) -> pa.Table:
         known, value, _ = runs(t).anchors()
-        return exchange.messages(counts, (known, value), t.column("block")[0].as_py(), n, fan_bits) if len(known) else exchange.rows([])
+        return ask((known, value), counts, t) if len(known) else none
 
-    def repeated(t: pa.Table, told: pa.Table) -> Runs:
+    def repeated(t: pa.Table, told: pa.Table) -> tuple[Runs, np.ndarray]:
+        """Runs whose anchor a second document has, and which of them are hot."""
         r = runs(t)
-        if not told.num_rows:
-            return r.keep(np.zeros(len(r.doc), bool))
-        return r.keep((exchange.joined(counts, told) > 1)[r.anchors()[2]])
+        if not len(r.doc) or not told.num_rows:
+            return r.keep(np.zeros(len(r.doc), bool)), np.zeros(0, bool)
+        total = exchange.joined(counts, told)[r.anchors()[2]]
+        return r.keep(total > 1), total[total > 1] > hot
+
+    def windows(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of the runs' windows, 1 or (if documents of different ids have it) 2 for each, and which of
+        them each window has."""
+        every = dataclasses.replace(r, doc=np.repeat(r.doc, r.last - r.first + 1), anchor=hashes(r.stretches()))
+        known, value, place = every.anchors()
+        return known, np.minimum(value, 2), place
+
+    def ask_windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        r, many = repeated(left, right) if left.num_rows else (None, np.zeros(0, bool))
+        if not many.any():
+            return none
+        known, value, _ = windows(r.keep(many))
+        return ask((known, value), counts, left)
+
+    def left_over(left: pa.Table, right: pa.Table) -> Runs:
+        about = right.column("about").to_numpy()
+        r, many = repeated(left, right.filter(pa.array(about == 0)))
+        if many.any():
+            flags = exchange.joined(counts, right.filter(pa.array(about == 1)))[windows(r.keep(many))[2]] > 1
+            r = r.only(many, flags)
+        return r
 
-    def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return exchange.rows([])
-        own = repeated(left, right).stretches()
-        return exchange.messages(stretches, stretches.merge([own])[0], left.column("block")[0].as_py(), n, fan_bits) if own.parts else exchange.rows([])
+    def ask_stretches(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        own = left_over(left, right).stretches() if left.num_rows else None
+        return ask(stretches.merge([own])[0], stretches, left) if own and own.parts else none
 
     def done(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        about = right.column("about").to_numpy()
-        r = repeated(left, right.filter(pa.array(about == 0)))
+        r = left_over(left, right)
         own = r.stretches()
         whole, places = stretches.merge([own])
-        reply = exchange.joined(stretches, right.filter(pa.array(about == 1)))
+        reply = exchange.joined(stretches, right.filter(pa.array(right.column("about").to_numpy() == 2)))
         return finish(r, *stretches.back(whole, reply, own, places[0]))
 
     parts = min(n, PARTITIONS)
     by_block = dealt.groupBy("block")
-    told = lambda answers, k: answers.where("node >= 0").select(F.col("node").alias("block"), "digit", "data", F.lit(k).alias("about"))
-    anchors = told(exchange.answers(by_block.applyInArrow(ask_anchors, exchange.ROW), counts, n, fan_bits), 0)
-    asked = by_block.cogroup(anchors.repartition(parts, "block").groupBy("block")).applyInArrow(ask, exchange.ROW)
-    both = anchors.unionByName(told(exchange.answers(asked, stretches, n, fan_bits), 1)).repartition(parts, "block")
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(done, schema)
+
+    def told(asked: DataFrame, kind, about: int) -> DataFrame:
+        replies = exchange.answers(asked, kind, n, fan_bits).where("node >= 0")
+        return replies.select(F.col("node").alias("block"), "digit", "data", F.lit(about).alias("about"))
+
+    def beside(replies: DataFrame):
+        return by_block.cogroup(replies.repartition(parts, "block").groupBy("block"))
+
+    anchors = told(by_block.applyInArrow(ask_anchors, exchange.ROW), counts, 0)
+    known = anchors.unionByName(told(beside(anchors).applyInArrow(ask_windows, exchange.ROW), counts, 1))
+    known = known.unionByName(told(beside(known).applyInArrow(ask_stretches, exchange.ROW), stretches, 2))
+    return beside(known).applyInArrow(done, schema)

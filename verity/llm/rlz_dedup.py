@@ -11,7 +11,6 @@ The words of factors are duplicate spans.
 
 Reference blocks hold the words themselves (passages.Stretches): hashes choose what to compare, each chain of
 phrases is compared with its source word for word, and if one differs the block is indexed by its words instead.
-A hot anchor's stretches with different surroundings all lie in one block; equal ones are one entry.
 
 Nulls: a null text has no words; a row with a null id comes after all others and removes nothing from them. Rows
 with equal ids do not remove each other's words. Texts shorter than a phrase stay whole. An empty table gives no rows.
@@ -29,7 +28,7 @@ from verity.llm import exchange
 from verity.llm.blocks import deal, groups, unpack
 from verity.llm.common import table
 from verity.llm.hashing import Words, prefix, ranges
-from verity.llm.passages import NONE, Passages, Runs, chains, flat, runs_of, search, sliding_minimum
+from verity.llm.passages import HOT, NONE, Passages, Runs, chains, flat, runs_of, search, sliding_minimum
 
 GRAM = 8
 
@@ -54,11 +53,16 @@ def phrase_runs(t: pa.Table, length: int) -> Runs:
     return Runs.join(block, parts, cut)
 
 
+def phrase_hashes(p: Passages, length: int, w: Words | None = None) -> np.ndarray:
+    w = w or Words(p.parts)
+    start = flat(w.first[:-1], p.windows)  # word at which each phrase begins
+    return ranges(prefix(w.hash), start, start + length)
+
+
 def first_places(p: Passages, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each phrase of the stretches, where it stands first if that is a smaller doc_id."""
     w = Words(p.parts)
-    start = flat(w.first[:-1], p.windows)  # word at which each phrase begins
-    hashes = ranges(prefix(w.hash), start, start + length)
+    start, hashes = flat(w.first[:-1], p.windows), phrase_hashes(p, length, w)
     ids, at = np.repeat(p.ids, p.windows), flat(p.at, p.windows)
     order = np.lexsort((at, ids, hashes))
     new = np.diff(hashes[order], prepend=hashes[order[0]] ^ hashes.dtype.type(1)) != 0
@@ -100,7 +104,7 @@ def factors(doc: np.ndarray, at: np.ndarray, sid: np.ndarray, sat: np.ndarray, l
 FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
 
 
-def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, fan_bits: int = exchange.FAN_BITS) -> DataFrame:
+def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, fan_bits: int = exchange.FAN_BITS, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, and with keep_text the kept words as text
     (`kept`) and the document's `factors` in order (start, words, source, source_start)."""
 
@@ -131,7 +135,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return pa.Table.from_arrays(cols, names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, factors array<struct<start: long, words: long, source: long, source_start: long>>" * keep_text
-    return search(docs, id_col, text_col, lambda t: phrase_runs(t, length), lambda p: first_places(p, length), finish, schema, fan_bits=fan_bits, deal=deal)
+    return search(docs, id_col, text_col, lambda t: phrase_runs(t, length), lambda p: phrase_hashes(p, length), lambda p: first_places(p, length), finish, schema, fan_bits=fan_bits, hot=hot, deal=deal)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

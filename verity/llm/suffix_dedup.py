@@ -28,7 +28,7 @@ from verity.llm import exchange
 from verity.llm.blocks import deal, groups, unpack
 from verity.llm.common import table
 from verity.llm.hashing import BYTE, U, prefix, ranges
-from verity.llm.passages import NONE, Passages, Runs, flat, runs_of, search, sliding_minimum
+from verity.llm.passages import HOT, NONE, Passages, Runs, flat, runs_of, search, sliding_minimum
 
 GRAM = 24
 PIECE = 256 << 10
@@ -98,6 +98,12 @@ def previous_factors(docs: np.ndarray, common: np.ndarray, length: int) -> np.nd
     return best
 
 
+def window_hashes(p: Passages, length: int) -> np.ndarray:
+    lengths = p.windows + length - 1
+    start = flat(np.cumsum(lengths) - lengths, p.windows)
+    return ranges(prefix(BYTE[np.frombuffer(b"".join(p.parts), np.uint8)]), start, start + length)
+
+
 def earlier_windows(p: Passages, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each window of the stretches whether an earlier document has it: any id but NONE (places are not told)."""
     data = np.frombuffer(b"".join(p.parts), np.uint8)
@@ -108,7 +114,7 @@ def earlier_windows(p: Passages, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(found, 0, NONE), flat(np.zeros(len(p.parts), np.int64), p.windows)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, fan_bits: int = exchange.FAN_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, fan_bits: int = exchange.FAN_BITS, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also `kept` (what
     remains as text; bytes of a character cut in two are dropped) and `row` (the other columns as they came)."""
 
@@ -146,7 +152,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if keep_text:
         schema = schema.add("kept", "string").add("row", T.StructType([docs.schema[c] for c in docs.columns if c != text_col]))
-    return search(docs, id_col, text_col, lambda t: window_runs(t, length), lambda p: earlier_windows(p, length), finish, schema, keep_text, fan_bits, deal)
+    return search(docs, id_col, text_col, lambda t: window_runs(t, length), lambda p: window_hashes(p, length), lambda p: earlier_windows(p, length), finish, schema, keep_text, fan_bits, hot, deal)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = 50) -> DataFrame:
