@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from verity.llm import exchange
 from verity.llm.blocks import LAST_ID, PARTITIONS, Block, deal
 from verity.llm.exchange import Counts, ranges_of
+from verity.llm.hashing import mix
 
 NONE = LAST_ID
 HOT = 2000
@@ -76,7 +77,7 @@ def runs_of(low: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int, m
     pieces = -(-(end - start) // most)
     start = np.repeat(start, pieces) + most * flat(np.zeros(len(pieces), np.int64), pieces)
     end, text = np.minimum(start + most, np.repeat(end, pieces)), np.repeat(text, pieces)
-    return text, start - begin[text], end - 1 - begin[text], low[start]
+    return text, start - begin[text], end - 1 - begin[text], mix(low[start])  # minima crowd at the low end
 
 
 @dataclasses.dataclass
