@@ -458,9 +458,9 @@ def test_token_files(docs, tmp_path):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    token_files.write(df, str(tmp_path), path, 1, 49_408, shard_bytes=5000)
+    token_files.write(df, str(tmp_path), path, 1, shard_bytes=5000)
     assert listed(token_files.read(df.sparkSession, str(tmp_path)), "doc_id", "start", "n_tokens", "ids_crc32") == expect(want)
-    token_files.write(empty(docs), str(tmp_path / "none"), path, 1, 49_408)
+    token_files.write(empty(docs), str(tmp_path / "none"), path, 1)
     assert token_files.read(df.sparkSession, str(tmp_path / "none")).collect() == []
     rng = random.Random(5)
     odd = ["İstanbul Straße ΣΑΣ. a.b,c foo., don't I'LL <|endoftext|> x<|startoftext|>y 12 a3,", "éa ́ x y z　w \x1c q"]
@@ -485,7 +485,10 @@ def test_language(spark):
     alone = model.predict([rows[3][1]])
     among = model.predict([r[1] or "" for r in rows])
     assert alone[0][0] == among[0][3] and abs(alone[1][0] - among[1][3]) < 1e-9  # neighbours do not matter
-    assert model.predict([rows[3][1]], reject_below=1.1)[0] == ["und"]
+    text = rows[3][1]
+    assert model.predict([text, text[::-1] + " zzqq" * 9], reject=0.2)[0][1] == "und" and model.predict([text], reject=1e-9)[0] == [rows[3][2]]
+    held = [np.mean(c < lim) for c, lim in zip(model.calibration, model.limits(0.2), strict=True)]
+    assert max(held) <= 0.2 + 1e-9
     none = language.fit(df, F.lit(False))
     assert {r["lang_pred"] for r in language.identify(df, none).collect()} == {"und"}
     assert language.identify(df.where("false"), model).collect() == []
@@ -500,6 +503,95 @@ def test_kneser_ney_sums_to_one():
         assert p.sum() < 1 + 1e-9 and p.sum() > 0.9  # the rest is the unknown character's
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by dictionaries of character tuples, as a textbook states it."""
+
+    def __init__(self, texts, order, discount=0.75):
+        self.order, self.d = order, discount
+        folded = [self.fold(t) for t in texts]
+        self.letters = len({c for t in folded for c in " " + t})
+        top = collections.Counter()
+        for t in folded:
+            padded = " " * 7 + t
+            for i in range(7, len(padded)):
+                top[padded[i - order + 1 : i + 1]] += 1
+        self.counts = {order: top}
+        for n in range(order - 1, 0, -1):  # continuation counts: how many characters stand before
+            self.counts[n] = collections.Counter(g[1:] for g in self.counts[n + 1])
+
+    @staticmethod
+    def fold(text):
+        return re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).lstrip(" ")
+
+    def p(self, context, c, n):
+        if n == 0:
+            return 1 / (self.letters + 1)
+        context = context[len(context) - n + 1 :]
+        followers = {g[-1]: k for g, k in self.counts[n].items() if g[:-1] == context}
+        below = self.p(context, c, n - 1)
+        if not followers:
+            return below
+        total = sum(followers.values())
+        return max(followers.get(c, 0) - self.d, 0) / total + self.d * len(followers) / total * below
+
+    def mean(self, text):
+        padded = " " * 7 + self.fold(text)
+        logs = [math.log(self.p(padded[:i], padded[i], self.order)) for i in range(7, len(padded))]
+        return sum(logs) / max(1, len(logs))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_kneser_ney_against_dictionaries(order):
+    rng = random.Random(order)
+    samples = {lang: [" ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))) for _ in range(12)] for lang, a in (("aa", "abcé"), ("bb", "xyzab"))}
+    models = [language.KneserNey(ts, order) for ts in samples.values()]
+    plain = [PlainKneserNey(ts, order) for ts in samples.values()]
+    texts = [*samples["aa"][:4], *samples["bb"][:4], "Abc, xyz!  q1w", "zz", "é-É"]
+    got, _ = language.LanguageModel([*samples], models, 4.0).means(texts)
+    want = [[m.mean(t) for m in plain] for t in texts]
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    langs, score = language.LanguageModel([*samples], models, 4.0).predict(texts)
+    for lang, p, row in zip(langs, score, want, strict=True):
+        e = [math.exp(4 * (x - max(row))) for x in row]
+        assert lang == [*samples][row.index(max(row))] and p == pytest.approx(max(e) / sum(e))
+
+
+def test_quality_gradients_and_scores():
+    rng = np.random.default_rng(3)
+    rows, out, bias = rng.normal(size=(7, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    share = rng.random(7)
+    share /= share.sum()
+    loss = lambda *a: quality.gradients(*a, 1)[0]
+    _, of_mean, of_out, of_bias = quality.gradients(rows, share, out, bias, 1)
+
+    def slope(x, at, *args):
+        up, down = x.copy(), x.copy()
+        up[at] += 1e-6
+        down[at] -= 1e-6
+        return (loss(*[up if a is x else a for a in args]) - loss(*[down if a is x else a for a in args])) / 2e-6
+
+    args = (rows, share, out, bias)
+    for at in np.ndindex(rows.shape):
+        assert slope(rows, at, *args) == pytest.approx(share[at[0]] * of_mean[at[1]], abs=1e-7)
+    assert all(slope(out, at, *args) == pytest.approx(of_out[at], abs=1e-7) for at in np.ndindex(out.shape))
+    assert all(slope(bias, (k,), *args) == pytest.approx(of_bias[k], abs=1e-7) for k in range(2))
+    # Features and scores text by text: words, pairs, and runs of 3 and 4 characters, never across texts.
+    texts = ["a bb  a", "", "é日本 x", "ab", "日本語日本", " \n ", ""]
+    f = quality.Features.of([t.encode() for t in texts], 1 << 12)
+    model = quality.QualityModel(rng.normal(size=1 << 12).astype(np.float32), 0.3)
+    scores = model.scores([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        words = t.split()
+        n = [len(words), max(0, len(words) - 1), max(0, len(t) - 2), max(0, len(t) - 3)]
+        assert [len(b[first[i] : last[i]]) for b, first, last in f.kinds] == n
+        alone = quality.Features.of([t.encode()], 1 << 12).one(0)
+        assert f.one(i).tolist() == alone.tolist()
+        mean = sum(float(model.weight[b]) for b in alone) / max(1, len(alone))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-mean - 0.3)))
+    same = quality.Features.of(["日本語日本語".encode()], 1 << 12).one(0)[1:5].tolist()  # behind the one word
+    assert same[0] == same[3] and len(set(same[:3])) == 3
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "of", "and", "stone", "river", "wall"]) for _ in range(40))

@@ -6,6 +6,9 @@ extra columns with clashing names.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -41,15 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.verity.checkpoint.dir", None)
+    """spark.checkpoint.dir; where it is unset, a temporary folder under a local master, else an error."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.verity.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="verity-checkpoint-")
+        atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.verity.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared checkpoint folder: lineage ends here and survives lost executors."""
     checkpoint_root(df.sparkSession)

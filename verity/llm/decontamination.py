@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm.common import cut, table
+from verity.llm.common import cut, quoted, table
 
 #: What separates words and what is in them before letters are folded (Java patterns); the letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,7 +37,7 @@ def windows_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     """Distinct windows: window (words joined by blanks), parts (words), items (sorted ids as strings)."""
     words = F.filter(F.split(fold(F.col("text")), SEPARATORS), lambda w: w != "")
     return (
-        benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+        benchmark.select(quoted(benchmark, item_col).cast("string").alias("item"), quoted(benchmark, text_col).cast("string").alias("text"))
         .where("item IS NOT NULL AND text IS NOT NULL")
         .select("item", words.alias("words")).where(F.size("words") > 0)
         .select("item", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).alias("at"))
@@ -50,7 +50,7 @@ def windows_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
 def hit_documents(slim: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", width: int = 10, broadcast_bytes: int = 4 << 20) -> DataFrame:
     """(d, h, hit, ids): for each contaminated (doc_id, hash of the text) its hit words and its items, of
     slim(doc_id long, text string not null)."""
-    size = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string"))).alias("b")).first()["b"] or 0
+    size = benchmark.agg(F.sum(F.octet_length(quoted(benchmark, item_text_col).cast("string"))).alias("b")).first()["b"] or 0
     small = (lambda df: F.broadcast(df)) if size <= broadcast_bytes else (lambda df: df)
 
     # Rarity: occurrences over all documents of the words that the benchmark has.
@@ -94,7 +94,7 @@ def hit_documents(slim: DataFrame, benchmark: DataFrame, item_col: str = "item_i
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")).alias("text"))
     by_doc = hit_documents(slim, benchmark, **options)
     counted = slim.select("doc_id", F.xxhash64("text").alias("hash"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
@@ -106,9 +106,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns as they are, without a word of a benchmark window."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")).alias("text"))
     by_doc = hit_documents(slim, benchmark, **options).select("d", "h")
-    same = docs[id_col].cast("long").eqNullSafe(by_doc["d"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == by_doc["h"])
+    same = quoted(docs, id_col).cast("long").eqNullSafe(by_doc["d"]) & (F.xxhash64(F.coalesce(quoted(docs, text_col).cast("string"), F.lit(""))) == by_doc["h"])
     return docs.join(by_doc, same, "left_anti")
 
 

@@ -68,6 +68,8 @@ class Words:
 
 
 def segment_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of values[first:last]; empty where last is not after first or first is behind the end."""
     total = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, out=total[1:])
-    return total[np.maximum(last, first)] - total[first]
+    first = np.minimum(first, len(values))
+    return total[np.clip(last, first, len(values))] - total[first]

@@ -5,11 +5,12 @@ a uniform floor. Each order is a sorted array of 64-bit hashes with log-probabil
 log back-off weights. A text is folded to lower-case letters with single blanks between runs of them; its score
 under a language is the mean log-probability of a character (length-normalised cross-entropy, negated), and the
 language with the lowest cross-entropy wins. Confidence is a softmax over languages at a temperature calibrated on
-a part of the training sample that the counts do not use. Rejection: `und` for a text without a letter, and for
-one whose confidence is below `reject_below` (0, the contract's value, rejects nothing else).
+a part of the training sample that the counts do not use. Rejection: `und` for a text without a letter, and, with
+`reject` above 0, for one whose cross-entropy under the chosen language is beyond what the share `reject` of that
+part's texts of the language have (the contract's query rejects nothing else).
 
-Training is on the driver on a bounded sample: for each language at most `max_docs` rows, lowest hash of the id
-first, none above `max_bytes` (parameters of fit). Scoring is map-only; n-grams of a piece are looked up once each.
+Training is on the driver on a bounded sample: for each language at most `max_docs` rows, lowest hash of id and text
+first (parameters of fit). Scoring is map-only; n-grams of a piece are looked up once each.
 
 Nulls: a null or letterless text gives `und` with score 0; rows with a null lang or id are not learnt from; a null
 id is not held out. With no training row every text is `und`. Rows are independent of each other. Ties go to the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verity.llm.common import crc_mod, crc_mod_py, map_pieces, table
+from verity.llm.common import crc_mod, crc_mod_py, map_pieces, quoted, table
 from verity.llm.hashing import U, mix
 
 BLANK = np.uint32(32)
@@ -135,6 +136,7 @@ class KneserNey:
 class LanguageModel:
     def __init__(self, langs: list[str], models: list[KneserNey], scale: float):
         self.langs, self.models, self.scale = langs, models, scale
+        self.calibration = [np.zeros(0)] * len(langs)  # mean log-probabilities of held texts under their own language
 
     @classmethod
     def fit(cls, samples: dict[str, list[str]], order: int = 5) -> LanguageModel:
@@ -145,6 +147,7 @@ class LanguageModel:
         if held and len(langs) > 1:
             means, _ = model.means([t for t, _ in held])
             truth = np.array([k for _, k in held])
+            model.calibration = [np.sort(means[truth == k, k]) for k in range(len(langs))]
             best = np.inf
             for scale in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
                 loss = -np.log(_softmax(means * scale)[np.arange(len(held)), truth] + 1e-12).mean()
@@ -167,13 +170,17 @@ class LanguageModel:
             out[:, k] = (total[begin[1:]] - total[begin[:-1] + PAD]) / np.maximum(n, 1)
         return out, np.array([any(map(str.isalpha, t)) for t in texts], bool)
 
-    def predict(self, texts: list[str], reject_below: float = 0.0) -> tuple[list[str], np.ndarray]:
+    def limits(self, reject: float) -> np.ndarray:
+        """Of each language the lowest mean log-probability that is not rejected."""
+        return np.array([np.quantile(c, reject, method="lower") if reject > 0 and len(c) else -np.inf for c in self.calibration])
+
+    def predict(self, texts: list[str], reject: float = 0.0) -> tuple[list[str], np.ndarray]:
         if not self.models:
             return ["und"] * len(texts), np.zeros(len(texts))
         means, some = self.means(texts)
         p = _softmax(means * self.scale)
         best, top = p.argmax(1), p.max(1)
-        ok = some & (top >= reject_below)
+        ok = some & (means[np.arange(len(texts)), best] >= self.limits(reject)[best])
         return [self.langs[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist(), strict=True)], np.where(some, top, 0.0)
 
 
@@ -185,27 +192,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 250, max_bytes: int = 50_000) -> LanguageModel:
     """Learn every language that is there, each from at most max_docs rows; texts of more than max_bytes are taken
     only where a language has fewer shorter ones, and then their first max_bytes characters."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), quoted(docs, lang_col).cast("string").alias("lang"), quoted(docs, text_col).cast("string").alias("text"))
     slim = slim.where(where & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    slim = slim.withColumn("long", F.octet_length("text") > max_bytes)
-    # The lowest hashes of each language, by salt before by language, so that no task sorts a whole language.
-    ids = slim.select("lang", "doc_id", "long", F.xxhash64("doc_id").alias("h"))
-    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("long", "h", "doc_id"))).where(F.col("rank") <= max_docs).drop("rank")
-    picked = sorted({(r["lang"], r["doc_id"], r["long"]) for r in ids.collect()})  # at most max_docs ids a language
-    chosen = docs.sparkSession.createDataFrame(picked, "lang string, doc_id long, long boolean")
-    rows = slim.join(F.broadcast(chosen), ["lang", "doc_id", "long"]).withColumn("text", F.substring("text", 1, max_bytes))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text"))  # ids may repeat
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= max_docs).collect() if picked else []
+    slim = slim.withColumn("long", F.octet_length("text") > max_bytes).withColumn("h", F.xxhash64("doc_id", "text"))
+    # The lowest hashes of each language: below a bound that leaves about four times as many as are wanted, so that
+    # no task sees more than a bounded part of a language. Rows that repeat are one.
+    counts = slim.groupBy("lang", "long").agg(F.approx_count_distinct("h").alias("n")).collect()
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], r["long"], -(2**63) + min(2**64 - 1, (2**64 * (4 * max_docs + 64)) // max(1, r["n"]))) for r in counts], "lang string, long boolean, bound long")
+    few = slim.join(F.broadcast(bounds), ["lang", "long"]).where("h <= bound").groupBy("lang", "long", "h").agg(F.min("doc_id").alias("doc_id"), F.first(F.substring("text", 1, max_bytes)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))
+    rows = few.withColumn("rank", rank).where(F.col("rank") <= max_docs).collect() if counts else []
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return LanguageModel.fit(samples)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", held_modulus: int = 4, held: int = 2, reject_below: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", held_modulus: int = 4, held: int = 2, reject: float = 0.0) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), quoted(docs, text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -213,7 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column("doc_id")
-            langs, score = model.predict([t or "" for t in batch.column("text").to_pylist()], reject_below)
+            langs, score = model.predict([t or "" for t in batch.column("text").to_pylist()], reject)
             held_out = [crc_mod_py(i, held_modulus) == held for i in ids.to_pylist()]
             return pa.RecordBatch.from_arrays([ids, pa.array(held_out), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 

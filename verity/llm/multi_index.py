@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm.common import cut, table
+from verity.llm.common import cut, quoted, table
 from verity.llm.components import Forest, components
 
 
@@ -112,7 +112,7 @@ def _unit(batch: pa.RecordBatch) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.999, sample_rows: int = 8192, per_cell: int = 48, max_book: int = 256, block: int = 4096) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(quoted(vectors, id_col).cast("long").alias("vec_id"), quoted(vectors, vector_col).cast("array<double>").alias("v"))
     finite = ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False)))
     rest = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

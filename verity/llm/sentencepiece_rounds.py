@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from verity.llm.common import map_pieces, table
+from verity.llm.common import map_pieces, quoted, table
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -51,6 +51,8 @@ class MergeRounds:
                 b = int(p.piece[3:5], 16)
                 self.byte_id[b], self.byte_of[i] = i, b
         self.size = len(model.pieces)
+        #: Whether a symbol is a piece of text (the last entry is for characters outside the vocabulary).
+        self.plain = np.array([*(p.type == 1 for p in model.pieces), False])
         self.text_of = [p.replace(MARK, " ") for p in self.pieces]
         self.number = [str(i) for i in range(self.size)]
         scores = np.array([p.score for p in model.pieces])
@@ -178,11 +180,11 @@ class MergeRounds:
             self.ids.clear()
             self.shown.clear()
             missing = list(words)
-        number, text_of, first = self.number, self.text_of, 3 + 256  # special and byte pieces come first
+        number, text_of = self.number, self.text_of
         for a in range(0, len(missing), 30_000):
             part = missing[a : a + 30_000]
             symbols, counts = self.encode_words([MARK + w for w in part])
-            plain = np.minimum.reduceat(symbols, np.cumsum(counts) - counts) >= first
+            plain = np.logical_and.reduceat(self.plain[np.maximum(symbols, -1)], np.cumsum(counts) - counts)
             symbols, at = symbols.tolist(), 0
             for w, n, simple in zip(part, counts.tolist(), plain.tolist(), strict=True):
                 ids = symbols[at : at + n]
@@ -237,7 +239,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     Map-only: no shuffle; a task holds one Arrow batch and a bounded cache of words.
     """
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    slim = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), quoted(docs, text_col).cast("string").alias("text"))
 
     def make():
         coder = _coder(model_file)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm.common import cut, map_pieces, table, texts
+from verity.llm.common import cut, map_pieces, quoted, table, texts
 from verity.llm.components import Forest, components
 
 
@@ -151,7 +151,7 @@ def near(distinct: DataFrame, bits: int, partitions: int) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, rows_per_partition: int = 60_000) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), quoted(docs, text_col).cast("string").alias("text"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

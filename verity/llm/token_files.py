@@ -3,8 +3,10 @@
 Format, a folder of shards in ascending order of doc_id:
   ids-NNNNNN.bin   token ids of the shard's documents one after another, little-endian unsigned (16 bits when the
                    vocabulary fits, else 32)
-  idx-NNNNNN.bin   little-endian 64-bit: n + 1 offsets into the ids, then the n doc_ids (null: the smallest value)
-  manifest.json    dtype, and for each shard its documents, tokens and base (tokens of all shards before it)
+  idx-NNNNNN.bin   little-endian 64-bit: n + 1 offsets into the ids, then the n doc_ids (0 for the null ones, which
+                   come first)
+  manifest.json    dtype, and for each shard its documents, how many of them have a null doc_id, tokens and base
+                   (tokens of all shards before it)
 
 Documents are dealt by ranges of doc_id and sorted inside a range, so bases are prefix sums over one number per
 shard. A task writes under a name of its own attempt and renames, so a repeated task leaves one whole shard.
@@ -29,13 +31,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm.common import pieces, shared_dir, table, texts, total_bytes
+from verity.llm.common import pieces, quoted, shared_dir, table, texts, total_bytes
 
 #: ASCII punctuation without the apostrophe, which the tokenizer joins with letters.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: What stands for a null doc_id in an index file.
-NO_ID = -(2**63)
-
 
 class ChunkEncoder:
     """Encodes with the tokenizers library, one white-space chunk at a time, through a bounded cache.
@@ -111,9 +110,12 @@ def _encoder(tokenizer_file: str, dtype: str) -> ChunkEncoder:
     return ChunkEncoder(tokenizer_file, np.dtype(dtype))
 
 
-def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 24 << 20) -> dict:
+def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 24 << 20) -> dict:
     """Encode docs into folder (a URI or path); returns the manifest, which holds a few numbers per shard."""
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    from tokenizers import Tokenizer
+
+    vocabulary = max(end_id, *Tokenizer.from_file(tokenizer_file).get_vocab().values()) + 1
+    slim = docs.select(quoted(docs, id_col).cast("long").alias("doc_id"), quoted(docs, text_col).cast("string").alias("text"))
     _, size = total_bytes(slim, "text")
     dtype = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
     shards = max(1, -(-size // shard_bytes))
@@ -125,7 +127,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, vocabu
         store, root = _store(folder)
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         coder, end = _encoder(tokenizer_file, dtype.str), np.array([end_id], dtype).tobytes()
-        name, lengths, ids = f"{root}/ids-{shard:06d}.bin", [np.zeros(1, "<i8")], []
+        name, lengths, ids, nulls = f"{root}/ids-{shard:06d}.bin", [np.zeros(1, "<i8")], [], 0
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{name}.{attempt}") as out:
             for batch in batches:
@@ -133,7 +135,8 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, vocabu
                     coded = [c + end for c in coder.encode(texts(piece))]
                     out.write(b"".join(coded))
                     lengths.append(np.array([len(c) for c in coded], "<i8") // dtype.itemsize)
-                    ids.append(pc.fill_null(piece.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+                    nulls += piece.column("doc_id").null_count
+                    ids.append(pc.fill_null(piece.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype("<i8"))
         offsets = np.cumsum(np.concatenate(lengths), dtype="<i8")
         index = f"{root}/idx-{shard:06d}.bin"
         with store.open_output_stream(f"{index}.{attempt}") as out:
@@ -142,11 +145,11 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, vocabu
                 out.write(part.tobytes())
         store.move(f"{name}.{attempt}", name)
         store.move(f"{index}.{attempt}", index)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(offsets) - 1], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], ["shard", "documents", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(offsets) - 1], pa.int64()), pa.array([int(offsets[-1])], pa.int64()), pa.array([nulls], pa.int64())], ["shard", "documents", "tokens", "nulls"])
 
-    done = sorted(dealt.mapInArrow(run, "shard int, documents long, tokens long").collect())
+    done = sorted(dealt.mapInArrow(run, "shard int, documents long, tokens long, nulls long").collect())
     bases = np.cumsum([0, *(r["tokens"] for r in done)]).tolist()
-    manifest = {"dtype": dtype.str, "end_id": end_id, "tokens": bases[-1], "shards": [{"shard": r["shard"], "documents": r["documents"], "tokens": r["tokens"], "base": b} for r, b in zip(done, bases, strict=False)]}
+    manifest = {"dtype": dtype.str, "end_id": end_id, "tokens": bases[-1], "shards": [{"shard": r["shard"], "documents": r["documents"], "tokens": r["tokens"], "nulls": r["nulls"], "base": b} for r, b in zip(done, bases, strict=False)]}
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/manifest.json") as out:
@@ -160,13 +163,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     with store.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
     dtype = np.dtype(manifest["dtype"])
-    rows = [(s["shard"], s["base"], s["documents"]) for s in manifest["shards"] if s["documents"]]
-    shards = spark.createDataFrame(rows, "shard int, base long, documents long").repartition(max(1, len(rows)), "shard")
+    rows = [(s["shard"], s["base"], s["documents"], s["nulls"]) for s in manifest["shards"] if s["documents"]]
+    shards = spark.createDataFrame(rows, "shard int, base long, documents long, nulls long").repartition(max(1, len(rows)), "shard")
 
     def run(batches):
         store, root = _store(folder)
         for batch in batches:
-            for shard, base, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, base, n, nulls in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.frombuffer(_mapped(store, f"{root}/idx-{shard:06d}.bin"), "<i8")
                 ids = np.frombuffer(_mapped(store, f"{root}/ids-{shard:06d}.bin"), dtype)
                 offsets, doc_ids = raw[: n + 1], raw[n + 1 :]
@@ -174,7 +177,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     b = min(n, a + 20_000)
                     cuts = offsets[a : b + 1].tolist()
                     crcs = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                    docs = pa.array(doc_ids[a:b], mask=doc_ids[a:b] == NO_ID)
+                    docs = pa.array(doc_ids[a:b], mask=np.arange(a, b) < nulls)
                     yield pa.RecordBatch.from_arrays([docs, pa.array(offsets[a:b] + base), pa.array(np.diff(offsets[a : b + 1])), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -199,5 +202,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = shared_dir(spark)
-    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
+    write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read(spark, folder)
