@@ -391,6 +391,42 @@ def test_multi_sequence_visits_in_order():
     assert got == sorted(x + y for x in a for y in b if x + y <= 0.9)
 
 
+def test_grid_visits_are_the_multi_sequence():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    grid = multi_index.Grid(x, 9, 0.9, 0.99)
+    a, b = grid.distances(x)
+    a, b = a - a.min(1, keepdims=True), b - b.min(1, keepdims=True)
+    got: dict = {}
+    for r, c in zip(*(v.tolist() for v in grid.visits(x)), strict=True):
+        got.setdefault(r, []).append(divmod(c, grid.size[1]))
+    for r in range(400):
+        oa, ob = a[r].argsort(), b[r].argsort()
+        want = [(int(oa[i]), int(ob[j])) for i, j in multi_index.multi_sequence(a[r][oa].tolist(), b[r][ob].tolist(), grid.radius)]
+        assert sorted(got[r]) == sorted(want)
+        sums = [a[r, i] + b[r, j] for i, j in got[r]]
+        assert sums == sorted(sums) and got[r][0] == divmod(int(grid.cells(x)[r]), grid.size[1])
+
+
+def test_multi_index_recall_at_the_default(spark):
+    """Links of 6000 vectors, a third of them around two points along two directions, at the default recall."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(800, 64))
+    loose = np.repeat(base, 5, axis=0) + rng.normal(size=(4000, 64)) * 0.24
+    plane = rng.normal(size=(2, 64))
+    hot = np.repeat(rng.normal(size=(2, 64)), 1000, axis=0) + rng.normal(size=(2000, 2)) @ plane * 0.2
+    x = np.concatenate([loose, hot]).astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in multi_index.near_duplicates(df, per_cell=20, block=300).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= near.sum(1)).all()
+    assert links.sum() >= 0.98 * near.sum() and links[:4000].sum() >= 0.98 * near[:4000].sum() > 2000 and links[4000:].sum() >= 0.98 * near[4000:].sum()
+
+
 @pytest.mark.parametrize("limit", [4 << 20, 0])
 def test_decontamination(spark, docs, limit):
     rows, df = docs

@@ -9,9 +9,10 @@ cosine in double precision, so no pair below the threshold is linked.
 
 A pair that both visits find is counted once: in the cell with the lower number.
 
-Copies (equal components) are one entry with a count. Members and visitors of a large cell are dealt over blocks
-(cell, i, j), from counts per cell (at most codebook size squared numbers), so that no task holds a whole hot
-cell; a task returns counts of links and a spanning forest, never pairs.
+Copies (equal components) are one entry with a count. Members and visitors of a cell with many of either are dealt
+over blocks (cell, i, j), from counts per cell, so that no task holds a whole hot cell; a task returns counts of links
+and a spanning forest, never pairs. Codebooks grow with the root of the number of vectors (up to max_book entries
+each, from at most sample_rows vectors), so that cells keep their size up to max_book**2 * per_cell vectors.
 
 Vectors of each length have an index of their own and link among themselves. Vectors that are null, zero, or hold null
 or non-finite components link with nothing. Rows with a null vec_id have a row of their own without links. Rows that repeat a
@@ -32,6 +33,10 @@ from verity.llm.common import cut, quoted, table
 from verity.llm.components import Forest, components
 
 
+#: Most rows (of two numbers and a cell) of a table that is broadcast.
+BROADCAST_CELLS = 200_000
+
+
 class Grid:
     """Two codebooks and the radius of a visit."""
 
@@ -46,8 +51,18 @@ class Grid:
         away -= (away * x).sum(1, keepdims=True) * x
         away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
         y = threshold * x + np.sqrt(1 - threshold**2) * away
-        excess = self.excess(x, self.cells(y))
-        self.radius = float(np.quantile(excess, recall)) + 1e-9
+        need = float(np.quantile(self.excess(x, self.cells(y)), recall))
+        # And real neighbours, whose differences may lie in few directions: pairs of the sample above the threshold.
+        found = []
+        for k in range(0, min(len(sample), 8192), 512):
+            near = sample[k : k + 512] @ sample[:8192].T
+            i, j = np.nonzero((near >= threshold) & (near < 1 - 1e-12))
+            if len(i):
+                pick = rng.permutation(len(i))[:20_000]
+                found.append(self.excess(sample[k + i[pick]], self.cells(sample[j[pick]])))
+        if found:
+            need = max(need, float(np.quantile(np.concatenate(found), recall)))
+        self.radius = need + 1e-9
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of each half to its codebook."""
@@ -65,22 +80,30 @@ class Grid:
         return a[rows, i] - a.min(1) + b[rows, j] - b.min(1)
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of all visits: for each row the multi-sequence traversal up to the radius."""
+        """(row, cell) of all visits: for each row the multi-sequence traversal up to the radius, nearest cell first.
+
+        All rows go together: of each row the centres of the first half within the radius, and for each of them as
+        many of the second half's as the rest of the radius allows; sorted by their sum, that is the order in which
+        multi_sequence takes them off its queue.
+        """
         a, b = self.distances(x)
         a, b = a - a.min(1, keepdims=True), b - b.min(1, keepdims=True)
-        oa, ob = a.argsort(1), b.argsort(1)
-        sa, sb = np.take_along_axis(a, oa, 1), np.take_along_axis(b, ob, 1)
-        na, nb = (sa <= self.radius).sum(1), (sb <= self.radius).sum(1)
-        rows, cells = [], []
-        for r in range(len(x)):
-            for i, j in multi_sequence(sa[r, : na[r]].tolist(), sb[r, : nb[r]].tolist(), self.radius):
-                rows.append(r)
-                cells.append(int(oa[r, i]) * self.size[1] + int(ob[r, j]))
-        return np.array(rows, np.int64), np.array(cells, np.int64)
+        ob = b.argsort(1)
+        sb = np.take_along_axis(b, ob, 1)
+        row, first = np.nonzero(a <= self.radius)
+        rest = self.radius - a[row, first]
+        most = int((sb <= self.radius).sum(1).max(initial=0))
+        many = (sb[:, :most][row] <= rest[:, None]).sum(1) if most else np.zeros(len(row), np.int64)
+        at = np.repeat(np.arange(len(row)), many)
+        j = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        row, first = row[at], first[at]
+        order = np.lexsort((a[row, first] + sb[row, j], row))
+        return row[order], (first * self.size[1] + ob[row, j])[order]
 
 
 def multi_sequence(first: list[float], second: list[float], radius: float):
-    """Pairs of places in two ascending lists in the order of their sums, until a sum passes the radius."""
+    """Pairs of places in two ascending lists in the order of their sums, until a sum passes the radius: the traversal
+    of one vector, which Grid.visits does for many at once and is tested against."""
     heap, seen = [(first[0] + second[0], 0, 0)] if first and second else [], set()
     while heap:
         total, i, j = heapq.heappop(heap)
@@ -110,7 +133,7 @@ def _unit(batch: pa.RecordBatch) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.999, sample_rows: int = 8192, per_cell: int = 48, max_book: int = 256, block: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.999, sample_rows: int = 32768, per_cell: int = 48, max_book: int = 2048, block: int = 4096) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     rows = vectors.select(quoted(vectors, id_col).cast("long").alias("vec_id"), quoted(vectors, vector_col).cast("array<double>").alias("v"))
     finite = ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
@@ -152,13 +175,17 @@ def _same_length(rows: DataFrame, threshold: float, recall: float, sample_rows:
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(home[row]), pa.array(cell)], ["v", "rep", "copies", "home", "cell"])
 
     placed = entry.mapInArrow(place, "v array<double>, rep long, copies long, home long, cell long")
-    # Blocks: from counts per cell, at most max_book**2 rows.
-    sizes = cut(placed.where("home = cell").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("s")).where("s > 1"))
-    split = placed.join(F.broadcast(sizes), "cell", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("s")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
-    visitors = split.withColumn("i", own).withColumn("j", every).withColumn("member", F.lit(False))
-    members = split.where("home = cell").withColumn("j", own).withColumn("i", every).withColumn("member", F.lit(True))
+    # Blocks of members and of visitors, from counts per cell: only cells that are large in either have a row.
+    member, width = F.col("home") == F.col("cell"), F.lit(block)
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count_if(member) / width).cast("int").alias("m"), F.ceil(F.count(F.lit(1)) / width / 2).cast("int").alias("q"))
+    sizes = cut(sizes.where("m > 1 OR q > 1"))
+    small = sizes.count() <= BROADCAST_CELLS
+    split = placed.join(F.broadcast(sizes) if small else sizes, "cell", "left")
+    split = split.withColumn("m", F.greatest(F.coalesce("m", F.lit(1)), F.lit(1))).withColumn("q", F.greatest(F.coalesce("q", F.lit(1)), F.lit(1)))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    visitors = split.withColumn("i", part("q")).withColumn("j", every("m")).withColumn("member", F.lit(False))
+    members = split.where("home = cell").withColumn("j", part("m")).withColumn("i", every("q")).withColumn("member", F.lit(True))
     keys = ["cell", "i", "j"]
 
     def verify(batches):
