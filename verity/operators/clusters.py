@@ -28,8 +28,10 @@ def kmeans(df: DataFrame, vector: str, k: int, name: str, seeds: int = 10, seed:
     """Add cluster numbers: of several starts the one with the lowest cost; k of 1 is one cluster."""
     if k < 2:
         return df.withColumn(name, F.lit(0))
-    rows = df.withColumn("__x", array_to_vector(F.col(vector).cast("array<double>"))).persist()
-    best = min((KMeans(k=k, seed=seed + s, featuresCol="__x", predictionCol=name).fit(rows) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+    rows = df.withColumn("__x", array_to_vector(F.col(vector).cast("array<double>")))
+    held = rows.select("__x").persist()
+    best = min((KMeans(k=k, seed=seed + s, featuresCol="__x", predictionCol=name).fit(held) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+    held.unpersist()
     return best.transform(rows).drop("__x")
 
 

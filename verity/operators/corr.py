@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verity.functions import scalars as S
+from verity.sources.folders import kept
 
 
 def ratio_by(df: DataFrame, keys: list[str], flag: Column) -> DataFrame:
@@ -32,7 +33,8 @@ def dense_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """Dense rank of a column's values, null for null. Ranks are given to distinct values: each range partition
     numbers its own and adds the sizes of those before it (a number for each partition)."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    numbered = values.select(column, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")).persist()
+    # Kept as a table: ranges are sampled, so places must not be made again after their sizes were taken.
+    numbered = kept(values.select(column, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")))
     sizes = {r["p"]: r["count"] for r in numbered.groupBy("p").count().collect()}
     base, before = {}, 0
     for p in sorted(sizes):
@@ -75,19 +77,59 @@ def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(ok)
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation over rows where both are there; null where one is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def sums_by(df: DataFrame, columns: list[str], by: list[str], step, complete: bool = False) -> DataFrame:
+    """(by..., x): the sum over a group's rows of step(values, present) -> flat array, added up in numpy in each task,
+    so that the shuffle is tasks times the array's length. Values are shifted by the columns' means over all rows
+    (large offsets would eat the digits of products), missing ones are 0 and not present."""
+    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    slim = df.select(*by, F.array(*(F.col(c).cast("double") for c in columns)).alias("__v"))
+    means = finite(df, columns).agg(*(F.avg(c).alias(c) for c in columns)).first()
+    shift = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            for key, part in f.groupby(list(by), dropna=False, sort=False) if by else [((), f)]:
+                x = np.array([[np.nan if e is None else e for e in v] for v in part["__v"]], np.float64).reshape(-1, len(columns)) - shift
+                here = np.isfinite(x)
+                if complete:
+                    x, here = x[here.all(1)], here[here.all(1)]
+                if len(x):
+                    new = step(np.where(here, x, 0.0), here.astype(np.float64))
+                    key = tuple(None if k is pd.NaT or (isinstance(k, float) and np.isnan(k)) else k for k in key)
+                    acc[key] = acc[key] + new if key in acc else new
+        if acc:
+            yield pd.DataFrame([[*key, x.tolist()] for key, x in acc.items()], columns=[*by, "x"])
+
+    parts = slim.mapInPandas(run, f"{keys + ', ' if keys else ''}x array<double>")
+    cells = parts.select(*by, F.posexplode("x").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"))
+    return cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("x"))
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as doubles, null where they are not finite."""
+    each = {c: F.col(c).cast("double") for c in columns}
+    return df.select(*(F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x).alias(c) for c, x in each.items()))
 
 
 def correlations(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """Upper triangle in one aggregate, in long form: by..., i, j, r."""
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    wide = df.groupBy(*by).agg(*(pearson(F.col(a), F.col(b)).alias(f"__{k}") for k, (a, b) in enumerate(pairs)))
-    cells = F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"__{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("c")
-    return wide.select(*by, cells).select(*by, "c.i", "c.j", "c.r")
+    """Upper triangle in long form: by..., i, j, r, over the rows where both columns are there and finite; null where
+    one is constant. Four matrix products for a batch of rows, whatever the number of columns."""
+    by, d = list(by), len(columns)
+    step = lambda x, here: np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x]).ravel()
+    upper = [(a, b) for a in range(d) for b in range(a + 1, d)]
+    at = lambda k, a, b: F.element_at("x", k * d * d + a * d + b + 1)
+
+    def r(a: int, b: int) -> Column:
+        n, sa, sb = at(0, a, b), at(1, a, b), at(1, b, a)
+        va, vb = at(2, a, b) - sa * sa / n, at(2, b, a) - sb * sb / n
+        level = 1e-14
+        live = (n > 1) & (va > level * at(2, a, b)) & (vb > level * at(2, b, a))
+        return F.when(live, (at(3, a, b) - sa * sb / n) / F.sqrt(va * vb))
+
+    total = sums_by(df, columns, by, step)
+    cells = F.explode(F.array(*(F.struct(F.lit(columns[a]).alias("i"), F.lit(columns[b]).alias("j"), r(a, b).alias("r")) for a, b in upper))).alias("c")
+    return total.select(*by, cells).select(*by, "c.i", "c.j", "c.r")
 
 
 # --- canonical correlation of blocks -------------------------------------------------------------------------
@@ -98,22 +140,41 @@ def block_order(blocks: dict[str, list[str]], tabular: list[str], text: list[str
     return first + sorted(b for b in blocks if b not in first)
 
 
-def varies(std: float, scale: float) -> bool:
-    return std > 1e-12 and std > 1e-7 * scale
+#: A column varies if its standard deviation is above both; distinct rows are told apart at this share
+#: of the largest value.
+LEAST_STD, LEAST_SHARE, ROUNDING = 1e-12, 1e-7, 1e-6
 
 
-def moments(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Means, second moments and distinct rows of complete rows by group: all that canonical correlations need.
+def varies(std: float, scale: float) -> bool:
+    return std > LEAST_STD and std > LEAST_SHARE * scale
 
-    Partial sums are combined before the shuffle, so a group of any size is a few numbers for each task.
-    """
+
+def moments(df: DataFrame, columns: list[str], by: list[str], needed: int) -> DataFrame:
+    """(by..., x, scale, distinct) of complete rows by group: count, sums and products of shifted values, each column's
+    largest value, and how many different rows there are after rounding, counted exactly up to `needed`."""
+    step = lambda x, here: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
     complete = finite_rows(df, columns)
-    # Centred on the group's mean, so that large offsets do not eat the digits of the products.
-    means = complete.groupBy(*by).agg(*(F.avg(F.col(c).cast("double")).alias(f"__m{k}") for k, c in enumerate(columns)))
-    joined = complete.join(F.broadcast(means), by) if by else complete.crossJoin(F.broadcast(means))
-    d = [F.col(c).cast("double") - F.col(f"__m{k}") for k, c in enumerate(columns)]
-    sums = [F.sum(d[a] * d[b]) for a in range(len(d)) for b in range(a, len(d))]
-    return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*(F.col(c) for c in columns))).alias("distinct"), F.array(*sums).alias("s"), F.array(*(F.max(F.abs(F.col(c).cast("double"))) for c in columns)).alias("scale"))
+    sums = sums_by(complete, columns, by, step, complete=True)
+    scale = complete.groupBy(*by).agg(F.array(*(F.max(F.abs(F.col(c).cast("double"))) for c in columns)).alias("scale"))
+    unit = F.greatest(F.array_max("scale") * ROUNDING, F.lit(1e-300))
+    same = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(b))
+    rounded = same(complete.select(*by, *columns), scale).select(*by, F.xxhash64(*(F.round(F.col(c).cast("double") / unit) for c in columns)).alias("h"))
+    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+
+    def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """At most `needed` different rows of a group leave a task."""
+        seen: dict[tuple, set] = {}
+        for f in frames:
+            for key, part in f.groupby(list(by), dropna=False, sort=False) if by else [((), f)]:
+                own = seen.setdefault(tuple(key), set())
+                if len(own) < needed:
+                    own.update(part["h"].unique()[: needed + len(own)].tolist())
+        out = [[*key, h] for key, own in seen.items() for h in sorted(own)[:needed]]
+        if out:
+            yield pd.DataFrame(out, columns=[*by, "h"])
+
+    different = rounded.mapInPandas(some, f"{keys + ', ' if keys else ''}h long").groupBy(*by).agg(F.least(F.count_distinct("h"), F.lit(needed)).alias("distinct"))
+    return same(same(sums, scale), different)
 
 
 def first_canonical(cov: np.ndarray, x: list[int], y: list[int]) -> float:
@@ -143,12 +204,11 @@ def block_correlations(df: DataFrame, blocks: dict[str, list[str]], by: list[str
     keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = np.triu_indices(width)
         for frame in frames:
             for _, row in frame.iterrows():
-                cov = np.zeros((width, width))
-                cov[upper] = row["s"]
-                cov = (cov + np.triu(cov, 1).T) / max(1, row["n"])
+                x = np.asarray(row["x"])
+                n, mean = max(1.0, x[0]), x[1 : 1 + width] / max(1.0, x[0])
+                cov = x[1 + width :].reshape(width, width) / n - np.outer(mean, mean)
                 std = np.sqrt(np.maximum(np.diag(cov), 0))
                 live = [varies(s, m) for s, m in zip(std, row["scale"], strict=True)]
                 out = []
@@ -166,4 +226,5 @@ def block_correlations(df: DataFrame, blocks: dict[str, list[str]], by: list[str
                         out.append([*(row[k] for k in by), i, j, None if np.isnan(r) else r])
                 yield pd.DataFrame(out, columns=[*by, "i", "j", "r"])
 
-    return moments(df, columns, by).mapInPandas(run, f"{keys + ', ' if keys else ''}i string, j string, r double")
+    needed = max([3, *(len(blocks[i]) + len(blocks[j]) + 1 for a, i in enumerate(names) for j in names[a + 1 :])])
+    return moments(df, columns, list(by), needed).mapInPandas(run, f"{keys + ', ' if keys else ''}i string, j string, r double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ class Config:
     min_group: int = 20
     max_split: int = 6
     max_groups: int = 200
-    min_count: int = 1
+    top_reasons: int = 6
 
 
 def bin_edges(df: DataFrame, column: str, bins: int) -> list[float] | None:
@@ -31,10 +32,54 @@ def bin_edges(df: DataFrame, column: str, bins: int) -> list[float] | None:
     few = df.select(column).distinct().limit(bins + 1).count() <= bins
     if few:
         return None
-    found = df.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("e")).first()["e"]
+    found = percentiles(df, column, [i / bins for i in range(1, bins)])
     return sorted(set(found)) if found else None
 
 
+def percentiles(df: DataFrame, column: str, shares: list[float], few: int = 20_000) -> list[float]:
+    """Exact percentiles, interpolated between neighbours; empty without a value.
+
+    A rank is bracketed by approximate percentiles and counted again inside, until few distinct values are left: no
+    task or driver holds more than those, whatever the rows.
+    """
+    values = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    n = values.count()
+    if not n:
+        return []
+    places = [s * (n - 1) for s in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    at = dict(zip(ranks, _of_rank(values, n, ranks, few), strict=True))
+    return [at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
+def _of_rank(values: DataFrame, n: int, ranks: list[int], few: int) -> list[float]:
+    """The values of ascending ranks (from 0) among n values x."""
+    if values.groupBy("x").count().limit(few + 1).count() <= few:
+        found, before, out = values.groupBy("x").count().orderBy("x").collect(), 0, []
+        for r in found:
+            before += r["count"]
+            while len(out) < len(ranks) and ranks[len(out)] < before:
+                out.append(r["x"])
+        return out
+    accuracy, out = 1000, []
+    for rank in ranks:
+        low, high = max(0.0, rank / n - 2 / accuracy), min(1.0, (rank + 1) / n + 2 / accuracy)
+        a, b = values.agg(F.percentile_approx("x", [low, high], accuracy)).first()[0]
+        counts = values.agg(F.count_if(F.col("x") < a).alias("below"), F.count_if(F.col("x") <= b).alias("upto")).first()
+        a, below = (a, counts["below"]) if counts["below"] <= rank else (None, 0)
+        inside = values if a is None else values.where(F.col("x") >= a)
+        inside, size = (inside.where(F.col("x") <= b), counts["upto"] - below) if counts["upto"] > rank else (inside, n - below)
+        if size == n:  # nothing was cut off: take the value that half of them are below
+            middle = values.agg(F.percentile_approx("x", 0.5, 100_000)).first()[0]
+            least = values.agg(F.count_if(F.col("x") < middle).alias("less"), F.count_if(F.col("x") <= middle).alias("upto")).first()
+            if least["less"] <= rank < least["upto"]:
+                out.append(middle)
+                continue
+            below, inside, size = (0, values.where(F.col("x") < middle), least["less"]) if rank < least["less"] else (least["upto"], values.where(F.col("x") > middle), n - least["upto"])
+        out += _of_rank(inside, size, [rank - below], few)
+    return out
+
+
 def bin_index(column: str, edges: list[float]) -> Column:
     """Bin of a value; a bin is closed on the right, equal values share one; null for null."""
     c = F.col(column)
@@ -85,8 +130,9 @@ def top_values(table: DataFrame, n: int = 20) -> DataFrame:
     return top_by(table, ["col", "cluster"], [F.desc("count"), F.asc("value")], n)
 
 
-def column_stats(top: DataFrame, min_count: int = 1) -> DataFrame:
-    """Over-represented values of each column and cluster: max, mean and sum of their enrichment, 4 decimals."""
+def column_stats(top: DataFrame, min_count: int = Config.min_group) -> DataFrame:
+    """Over-represented values (enrichment above 1, at least min_count rows) of each column and cluster: max, mean and
+    sum of their enrichment, 4 decimals."""
     e = F.when((F.col("enrichment") > 1) & (F.col("count") >= min_count), F.col("enrichment"))
     return top.groupBy("cluster", "col").agg(F.round(F.coalesce(F.max(e), F.lit(0.0)), 4).alias("max"), F.round(F.coalesce(F.avg(e), F.lit(0.0)), 4).alias("mean"), F.round(F.coalesce(F.sum(e), F.lit(0.0)), 4).alias("sum"))
 

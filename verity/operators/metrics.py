@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verity.sources.folders import kept
+
 
 def share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -41,7 +43,11 @@ def report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(score, pos, neg): one row for each distinct score."""
+    """(score, pos, neg): one row for each distinct score, counted once and kept for the passes that follow."""
+    return kept(_by_score(df, truth, score))
+
+
+def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
     return df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
 
 
@@ -51,9 +57,7 @@ def cumulated(per: DataFrame, key: str, columns: list[str], descending: bool, bu
     The only ordered window over everything has one row for each bucket.
     """
     cuts = per.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.aggregate(F.array(*(F.lit(c) for c in cuts)) if cuts else F.array(F.lit(0.0)), F.lit(0), lambda s, c: s + (F.col(key) >= c).cast("int"))
-    dealt = per.withColumn("__b", bucket if cuts else F.lit(0))
+    dealt = per.withColumn("__b", bucket_of(F.col(key), sorted(set(cuts))))
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = dealt.groupBy("__b").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
     before = Window.orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
@@ -62,6 +66,14 @@ def cumulated(per: DataFrame, key: str, columns: list[str], descending: bool, bu
     return dealt.join(F.broadcast(totals), "__b").select(*per.columns, *((F.sum(c).over(inside) + F.col(f"__{c}")).alias(f"cum_{c}") for c in columns))
 
 
+def bucket_of(value: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the ascending cuts a value is not below, by halving: a row is compared with the log of their number."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(value >= F.lit(cuts[half]), bucket_of(value, cuts[half + 1 :], first + half + 1)).otherwise(bucket_of(value, cuts[:half], first))
+
+
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Exact area: of all pairs of classes the share in order, ties by half; null with a single class."""
     run = cumulated(by_score(df, truth, score), "score", ["neg"], descending=False)

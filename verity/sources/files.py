@@ -50,8 +50,22 @@ def schema_of(spark: SparkSession, path: str) -> T.StructType:
 
 
 def row_count(spark: SparkSession, path: str) -> int:
-    """Count from Parquet statistics where the source can push it down."""
-    return spark.read.parquet(path).count()
+    """Rows by the footers of a table's files; no row group is read."""
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    found = [fs.getFileStatus(p)] if fs.getFileStatus(p).isFile() else fs.listStatus(p)
+    for status in found:
+        if status.getPath().getName().startswith(("_", ".")) or not status.getLen():
+            continue
+        if status.isDirectory():
+            n += row_count(spark, status.getPath().toString())
+            continue
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+        n += reader.getRecordCount()
+        reader.close()
+    return n
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, times: dict[str, str] | None = None) -> DataFrame:
@@ -71,19 +85,26 @@ def ingest(spark: SparkSession, csv: str, parquet: str, schema: T.StructType, ti
 
 
 def write_atomic(df: DataFrame, path: str) -> None:
-    """Write beside the target and move it there: readers see the old table or the new one."""
+    """Write beside the target and move it there. The old table is moved aside first and deleted only when the new one
+    is in place; if that fails it is moved back. A reader may find no table for the moment between the two moves."""
     spark = df.sparkSession
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(staging)
     fs, target = _path(spark, path)
-    if fs.exists(target):
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-        fs.rename(target, old)
-        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staging), target)
-        fs.delete(old, True)
-    else:
+    new = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    if not fs.exists(target):
         fs.mkdirs(target.getParent())
-        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staging), target)
+        if not fs.rename(new, target):
+            raise OSError(f"could not move {staging} to {path}")
+        return
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    if not fs.rename(target, old):
+        fs.delete(new, True)
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, target):
+        back = fs.rename(old, target)
+        raise OSError(f"could not move {staging} to {path}; the old table is {'back' if back else f'in {old}'}")
+    fs.delete(old, True)
 
 
 def glob(spark: SparkSession, pattern: str) -> DataFrame:
@@ -98,6 +119,15 @@ def glob(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select("*", F.regexp_replace(name, r"(\.scored)?\.parquet$", "").alias("stem"))
 
 
+def latest(spark: SparkSession, pattern: str) -> str:
+    """Of the paths that match the one changed last (ties: the last by name), for the newest run or cache; none: an error."""
+    fs, p = _path(spark, pattern)
+    found = [s.getPath().toString() for s in fs.globStatus(p) or []]
+    if not found:
+        raise FileNotFoundError(pattern)
+    return max(found, key=lambda f: (modified(spark, f), f))
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     fs, p = _path(spark, path)
     return fs.getFileStatus(p).isDirectory()
@@ -152,6 +182,7 @@ def read_json(spark: SparkSession, path: str):
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
-def batches(df: DataFrame, step, schema: str) -> DataFrame:
-    """A step over Arrow batches as pandas frames, in bounded memory."""
-    return df.mapInPandas(lambda frames: (step(f) for f in frames), schema)
+def batches(df: DataFrame, step, schema: str, beside: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """A step over Arrow batches as pandas frames, in bounded memory; with a second table, over rows joined by key."""
+    both = df if beside is None else df.join(beside, key)
+    return both.mapInPandas(lambda frames: (step(f) for f in frames), schema)
