@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 
 import numpy as np
@@ -234,25 +235,199 @@ def test_timer_and_report(spark):
     assert cli.parser().parse_args(["train", "--table", "t", "--columns", "{}", "--folder", "f", "--full"]).full
 
 
+def audit_rows(seed, n=240):
+    rng = np.random.default_rng(seed)
+    return [(i, f"g{i % 30}", ["ann", "bob", "cid"][i % 3], "xy"[i % 2], float(rng.normal() + 2 * (i % 3 == 0)), None if i % 11 == 0 else (i % 3 == 0) != (i % 17 == 0)) for i in range(n)]
+
+
+ROLES = {"key": "id", "group": "grp", "truth": "truth", "text": ["name"], "tabular": ["x"], "lineage": ["name", "place", "grp"], "excluded": ["grp"], "describe_under": [["grp", "name"]], "where": ["place"]}
+
+
 def test_workflows_and_stream(spark, tmp_path):
-    rng = np.random.default_rng(1)
-    rows = [(i, f"g{i % 30}", ["ann", "bob", "cid"][i % 3], float(rng.normal() + 2 * (i % 3 == 0)), None if i % 11 == 0 else i % 3 == 0) for i in range(240)]
-    df = spark.createDataFrame(rows, "id long, grp string, name string, x double, truth boolean")
-    roles = workflows.Columns("id", "grp", "truth", ("name",), ("x",), ("name", "grp"))
-    row = workflows.train(spark, df, roles, str(tmp_path), "top2", c=models.TrainConfig(trees=3, depth=2))
-    assert row["n_rows"] == 240 and row["f1"] > 0.9 and row["strategy"] == "top2"
-    done = workflows.audit(spark, df, roles, str(tmp_path))
+    """Both models: the second is trained on the marks of two tables, then applied to a third without being fitted."""
+    folder = str(tmp_path / "run")
+    frames = [spark.createDataFrame(audit_rows(k), "id long, grp string, name string, place string, x double, truth boolean") for k in range(3)]
+    for k, f in enumerate(frames):
+        f.write.parquet(f"{tmp_path}/t{k}.parquet")
+    columns, c = json.dumps(ROLES), models.TrainConfig(trees=3, depth=2)
+    roles = workflows.Columns(**{k: tuple(map(tuple, v)) if k == "describe_under" else tuple(v) if isinstance(v, list) else v for k, v in ROLES.items()})
+    row = workflows.train(spark, frames[0], roles, folder, "top2", c=c, inputs=[f"{tmp_path}/t0.parquet"])
+    assert row["n_rows"] == 240 and row["f1"] > 0.8 and row["strategy"] == "top2"
+    manifest = models.load(spark, f"{folder}/model_1")[1]
+    assert {r["backend"] for r in manifest["ranking"]} == {"gbt", "forest"} and manifest["backend"] == "gbt" and manifest["encoder"] == {"kind": "HashingEncoder", "dim": 64}
+    before = files.latest(spark, f"{folder}/cache/*")
+    again = workflows.model_input(spark, frames[0], roles, folder, "top2", inputs=[f"{tmp_path}/t0.parquet"])[0]
+    assert files.latest(spark, f"{folder}/cache/*") == before and again.where("is_train").count() + again.where("is_test").count() == 240
+    with pytest.raises(FileNotFoundError):
+        workflows.audit(spark, frames[0], roles, folder)  # no second model yet
+    for k in (0, 1):
+        cli.main(["audit", "--table", f"{tmp_path}/t{k}.parquet", "--columns", columns, "--folder", folder, "--no-model-2"], spark)
+    second = workflows.train_model_2(spark, f"{folder}/scored/*.scored.parquet", roles, folder, c)
+    assert second["tables"] == ["t0", "t1"] and second["n_rows"] == 480 and second["n_groups"] == 60
+    saved = models.load(spark, f"{folder}/model_2")
+    done = workflows.audit(spark, frames[2], roles, folder, f"{folder}/scored/t2.scored.parquet")
+    assert models.load(spark, f"{folder}/model_2")[1] == saved[1] and saved[1]["threshold"] == second["threshold"]
     assert done.count() == 240 and done.where("truth IS NULL AND NOT IF_ERROR").count() == 0
+    assert done.where(F.col("PRED_IF_ERROR") != (F.col("PROBA_IF_ERROR") >= second["threshold"]).cast("int")).count() == 0
     assert {"PRED_IF_ERROR", "PROBA_IF_ERROR", "ERROR_DIRECTION"} <= set(done.columns)
-    report = workflows.explain(spark, done, roles, str(tmp_path), k=2)
+    log = spark.read.option("header", True).csv(f"{folder}/logs/audit").collect()
+    assert len(log) == 3 and {r["source"] for r in log} == {"t0.scored.parquet", "t1.scored.parquet", "t2.scored.parquet"}
+    assert spark.read.option("header", True).csv(f"{folder}/logs/columns").count() == 1
+    assert "## model gbt" in spark.read.text(f"{folder}/reports/{row['run_id']}/markdown", wholetext=True).first()["value"]
+
+    report = workflows.explain(spark, done, roles, folder, k=2)
     assert report.n_errors >= 20 and report.assignments.count() == report.n_errors
+    told = files.read_json(spark, f"{folder}/report")
+    sizes = {(r["ERROR_GROUP"], r["ERROR_CLUSTER"], r["ERROR_DIRECTION"]): r["count"] for r in spark.read.parquet(f"{folder}/assignments").where("ERROR_GROUP IS NOT NULL").groupBy("ERROR_GROUP", "ERROR_CLUSTER", "ERROR_DIRECTION").count().collect()}
+    assert {(g["group"], g["archetype"], next(iter(g["error_direction_mix"]))): g["size"] for g in told["groups"]} == sizes  # one numbering
+    assert [g["group"] for g in told["groups"]] == list(range(1, len(sizes) + 1)) and all(g["share"] == round(g["size"] / report.n_errors, 4) for g in told["groups"])
+    assert sum(n["rows"] for a in told["archetypes"] for n in a["tree"]) == sum(sizes.values())
+    top = spark.read.parquet(f"{folder}/flagged_contributors")
+    assert top.select("id").distinct().count() == done.where("PRED_IF_ERROR = 1 AND IF_ERROR").count() and top.agg(F.max("rank")).first()[0] <= 8
+    names = saved[1]["feature_columns"]
+    assert {r["feature"] for r in spark.read.option("header", True).csv(f"{folder}/importance_by_feature").collect()} == set(names)
+    assert {r["feature_group"] for r in spark.read.option("header", True).csv(f"{folder}/importance_by_column").collect()} == {"name", "x"}
+    assert workflows.explain(spark, done, roles, folder, sample=25, cluster=False) is None and spark.read.parquet(f"{folder}/shap").select("id").distinct().count() == 25
+
+    features, blocks = cli.main(["grids", "--columns", columns, "--folder", folder], spark)
+    assert features.where("place = 'x' AND i = 'x' AND j = 'truth'").count() == 1
+    assert {(r["i"], r["j"]) for r in blocks.collect()} == {("x", "name"), ("x", "truth"), ("name", "truth")}
+    shares = cli.main(["variance", "--columns", columns, "--folder", folder], spark).collect()
+    assert [r["component"] for r in shares] == [1, 2] and shares[-1]["cumulative"] <= 1 + 1e-9
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    df.limit(5).write.parquet(src)
+    frames[0].limit(5).write.parquet(src)
     for _ in range(2):  # the second start finds nothing new
-        scoring.drop_folder(spark, src, df.schema, lambda b: b.select("id"), out, str(tmp_path / "state")).awaitTermination(60)
+        scoring.drop_folder(spark, src, frames[0].schema, lambda b: b.select("id"), out, str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 5
 
 
+def test_command_line_takes_a_csv_through(spark, tmp_path):
+    folder, columns = str(tmp_path / "run"), json.dumps(ROLES)
+    schema = "id long, grp string, name string, place string, x double, truth boolean"
+    spark.createDataFrame(audit_rows(5), schema).coalesce(1).write.option("header", True).csv(f"{tmp_path}/given.csv")
+    spark.createDataFrame(audit_rows(6), schema).write.parquet(f"{tmp_path}/t.parquet")
+    base = ["--columns", columns, "--folder", folder]
+    assert cli.main(["axes", "--table", f"{tmp_path}/t.parquet", "--reduction", "pc1", *base], spark)["name"].k == 1
+    assert cli.main(["model-input", "--table", f"{tmp_path}/t.parquet", "--reduction", "pc1", *base], spark).count() == 240
+    row = cli.main(["train", "--table", f"{tmp_path}/t.parquet", "--reduction", "pc1", "--groups", "20", "--from-scratch", *base], spark)
+    assert row["n_groups"] == 20 and row["n_rows"] == 160
+    done = cli.main(["audit", "--csv", f"{tmp_path}/given.csv", "--schema", schema, "--no-model-2", *base], spark)
+    assert done.count() == 240 and files.exists(spark, f"{folder}/scored/given.scored.parquet") and files.readable(spark, f"{tmp_path}/given.parquet")
+    assert cli.main(["train", "--table", f"{tmp_path}/t.parquet", "--only-model-2", *base], spark)["tables"] == ["given"]
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["train", "--table", "t", "--train-model-2", "--only-model-2", *base])
+
+
+def test_report_numbers_groups_once(spark):
+    """Two groups of one size whose paths are cut to different depths keep the numbers of their whole paths."""
+    rows = [("d", 0, "1", "2")] * 30 + [("d", 0, "1", "3")] * 30 + [("d", 1, "z", c) for c in "45678" for _ in range(20)] + [("d", 2, "y", str(k)) for k in range(40)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, way string, c int, a string, b string")
+    signatures = spark.createDataFrame([(k, col, w) for k in (0, 1, 2) for col, w in (("a", 0.5), ("b", -0.9), ("nowhere", 3.0))], "cluster int, feature_group string, mean_shap double")
+    r = clusters.report(df, "id", "way", ["a", "b"], "c", crosstab.Config(importance=3.0), (), signatures, {"b": "a"})
+    groups = {g["group_no"]: g for g in r.groups.collect()}
+    mine = {x["group_no"]: x["n"] for x in r.assignments.groupBy("group_no").agg(F.count("id").alias("n")).collect()}
+    assert {n: g["size"] for n, g in groups.items()} == {n: c for n, c in mine.items() if n is not None}
+    for row in r.assignments.where("group_no IS NOT NULL").collect():
+        g = groups[row["group_no"]]
+        assert g["cluster"] == row["c"] and all(row[step.split("=")[0]] == step.split("=")[1] for step in g["whole"])
+    told = clusters.as_json(r, crosstab.Config(importance=3.0))
+    stats = {(s["cluster"], s["col"]): s["sum"] for s in r.stats.collect()}
+    for g in told["groups"]:
+        weak = [x["column"] for x in g["not_important"]]
+        assert weak == [c for c in ("b", "a") if stats[g["archetype"], c] <= 3.0]  # by size of their contribution
+        assert [d["column"] for d in g["main_drivers"]] == sorted((c for c in "ab" if stats[g["archetype"], c] > 3.0), key=lambda c: -max(s["max"] for s in r.stats.collect() if s["cluster"] == g["archetype"] and s["col"] == c))
+    # Values in fewer rows than a group must have do not count as over-represented.
+    assert stats[2, "b"] == 0.0 and stats[1, "b"] > 3.0
+    assert clusters.report(df.limit(10), "id", "way", ["a"], "c").skipped
+
+
+def test_descriptions_under_a_driver(spark):
+    rows = spark.createDataFrame([(1, "u"), (1, "u"), (1, "v"), (2, "w"), (None, "x")], "group_no int, brands string")
+    groups = spark.createDataFrame([(1, 0, "d", ["n=3", "a=1"]), (2, 0, "d", ["n=3"]), (3, 0, "d", ["a=1"])], "group_no int, cluster int, direction string, path array<string>")
+    got = {(r["node"], r["value"]): r["count"] for r in crosstab.described(rows, groups, "brands", "n", 2).collect()}
+    assert got == {("n=3", "u"): 2, ("n=3", "v"): 1, ("n=3", "(other)"): 1}
+    told = clusters.tree_json([{"direction": "d", "path": ["n=3", "a=1"], "size": 3, "group_no": 1, "cluster": 0}, {"direction": "d", "path": ["n=3"], "size": 1, "group_no": 2, "cluster": 0}], under={(0, "d", "n=3"): {"brands": {"u": 2}}})
+    node = told[0]["children"][0]
+    assert node["described"] == {"brands": {"u": 2}} and node["own_rows"] == 1 and node["children"][0]["group"] == 1
+
+
+@pytest.mark.parametrize("few", [20_000, 5])
+def test_percentiles_are_exact(spark, few):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=700), rng.integers(0, 4, 500).astype(float), np.repeat([1.0, 5.0, 5.0, 9.0], 90), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(3)
+        shares = [0.0, 0.2, 0.4, 0.61, 1.0]
+        assert crosstab.percentiles(df, "v", shares, few) == pytest.approx(np.quantile(x, shares).tolist(), abs=1e-12)
+    assert crosstab.percentiles(df.where("false"), "v", [0.5], few) == []
+
+
+def test_buckets_by_halving(spark):
+    cuts = [0.5, 1.0, 2.5, 7.0, 9.0]
+    df = spark.createDataFrame([(float(v),) for v in (-1, 0.5, 0.7, 1, 2, 2.5, 8, 9, 11)], "v double")
+    got = [r["b"] for r in df.select(metrics.bucket_of(F.col("v"), cuts).alias("b")).collect()]
+    assert got == [sum(v >= c for c in cuts) for v in (-1, 0.5, 0.7, 1, 2, 2.5, 8, 9, 11)]
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 40)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 39] = 7.0
+    names = [f"c{k}" for k in range(40)]
+    df = spark.createDataFrame([(k % 2, *(None if np.isnan(v) else float(v) for v in r)) for k, r in enumerate(x)], ", ".join(["g int", *(f"{n} double" for n in names)]))
+    got = {(r["g"], r["i"], r["j"]): r["r"] for r in corr.correlations(df, names, ["g"]).collect()}
+    assert len(got) == 2 * 40 * 39 // 2
+    for g, a, b in [(0, 0, 1), (1, 5, 30), (0, 20, 38), (1, 3, 39)]:
+        u, v = x[g::2, a], x[g::2, b]
+        ok = ~np.isnan(u) & ~np.isnan(v)
+        want = None if b == 39 else np.corrcoef(u[ok], v[ok])[0, 1]
+        assert got[g, f"c{a}", f"c{b}"] == (want if want is None else pytest.approx(want, abs=1e-6))
+
+
+def test_block_guard_counts_rounded_rows(spark):
+    """Rows that differ by less than the rounding are one; the guard needs more rows than the widths."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(3, 3))
+    x = np.repeat(base, 30, axis=0) + rng.normal(size=(90, 3)) * 1e-9
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    assert corr.block_correlations(df, {"p": ["a", "b"], "q": ["c"]}, []).first()["r"] is None  # 3 of 4 rows
+    assert corr.block_correlations(df, {"p": ["a"], "q": ["c"]}, []).first()["r"] is not None
+
+
+def test_write_atomic_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t.parquet"
+    files.write_atomic(spark.range(4), path)
+    real = files._path
+
+    class Stubborn:
+        """A file system that refuses to move a staging folder."""
+
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            return False if ".staging-" in a.toString() else self.fs.rename(a, b)
+
+    monkeypatch.setattr(files, "_path", lambda s, p: (Stubborn(real(s, p)[0]), real(s, p)[1]))
+    with pytest.raises(OSError, match="back"):
+        files.write_atomic(spark.range(9), path)
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() == files.row_count(spark, path) == 4
+    files.write_atomic(spark.range(9), path)
+    assert files.row_count(spark, path) == 9 and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+    beside = files.batches(spark.range(5), lambda f: f, "id long, w long", spark.range(3).selectExpr("id", "id * 2 AS w"), "id")
+    assert values(beside, "id", "w") == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_older_layout_of_axes(spark, tmp_path):
+    (tmp_path / "name.json").write_text(json.dumps({"mean": [1.0, 2.0], "axis": [0.6, 0.8], "ratio": 0.7}))
+    strategy, fits = pca.load(spark, str(tmp_path))
+    assert strategy == pca.parse_strategy("pc1") and fits["name"].k == 1 and np.allclose(fits["name"].project(np.array([[2.0, 3.0]])), [[1.4]])
+
+
 def test_silhouette_counts_every_row(spark):
     import numpy as np
 

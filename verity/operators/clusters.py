@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verity.operators import crosstab as X
-from verity.sources.folders import scratch
+from verity.sources.folders import kept, scratch
 
 
 def standardised(df: DataFrame, vector: str, name: str) -> DataFrame:
@@ -124,28 +124,70 @@ def choose_k(df: DataFrame, vector: str, key: str, low: int = 2, high: int = 8,
 
 @dataclasses.dataclass
 class Report:
+    """groups: numbered once, by their whole paths; `path` is cut at the first weak value, `whole` is not."""
+
     n_errors: int
     skipped: bool
     groups: DataFrame | None = None
     assignments: DataFrame | None = None
     table: DataFrame | None = None
     stats: DataFrame | None = None
+    passed: DataFrame | None = None  # all columns that pass the gate, split on or not, by rank
+    modes: DataFrame | None = None
+    weak: DataFrame | None = None  # reasons that do not pass
+    described: dict[str, DataFrame] = dataclasses.field(default_factory=dict)
 
 
-def report(errors: DataFrame, key: str, way: str, columns: list[str], cluster: str, config: X.Config = X.Config(), excluded: tuple[str, ...] = ()) -> Report:
+def report(errors: DataFrame, key: str, way: str, columns: list[str], cluster: str, config: X.Config = X.Config(), excluded: tuple[str, ...] = (), signatures: DataFrame | None = None, describe_under: dict[str, str] | None = None) -> Report:
     """Cross-tabs, drivers, value groups and assignments of error rows that carry a cluster; all values and bins come
-    from the error rows alone. Fewer than min_rows error rows are not reported on."""
+    from the error rows alone. Fewer than min_rows error rows are not reported on.
+
+    signatures: (cluster, feature_group, mean_shap), from which the reasons come that are named as not important.
+    describe_under: a column (it may be an excluded one) to count under the nodes of a driver column.
+    """
     n = errors.count()
     if n < config.min_rows:
         return Report(n, True)
-    rows = X.with_values(errors, [c for c in columns if c not in excluded], config.bins).persist()
-    columns = [c for c in columns if c not in excluded]
-    table = X.top_values(X.crosstab(rows, cluster, columns), config.top_values)
-    stats = X.column_stats(table, config.min_count)
-    picked = X.drivers(stats, config.importance, config.max_split, excluded)
-    groups = X.capped(X.truncated(X.value_groups(rows, cluster, way, columns, picked, config), table, config.importance), config.max_groups)
-    full = X.capped(X.value_groups(rows, cluster, way, columns, picked, config), config.max_groups)
-    return Report(n, False, groups, X.assigned(rows, cluster, way, columns, picked, full), table, stats)
+    describe_under = describe_under or {}
+    columns = X.lineage(errors, columns, list(excluded))
+    beside = [c for c in describe_under if c in errors.columns and c not in columns]
+    rows = kept(X.with_values(errors, columns, config.bins).select(*dict.fromkeys([key, way, cluster, *columns, *beside])))
+    table = kept(X.top_values(X.crosstab(rows, cluster, columns), config.top_values))
+    stats = X.column_stats(table, config.min_group)
+    passed = X.drivers(stats, config.importance, len(columns), excluded)
+    picked = passed.where(F.col("rank") <= config.max_split)
+    whole = X.capped(X.value_groups(rows, cluster, way, columns, picked, config), config.max_groups)
+    groups = kept(X.truncated(whole, table, config.importance).withColumn("share", F.round(F.col("size") / F.lit(n), 4)))
+    found = X.assigned(rows, cluster, way, columns, picked, whole)
+    weak = X.not_important(X.reasons(signatures), stats, config.importance, excluded) if signatures is not None else None
+    under = {c: X.described(found, groups, c, d, config.top_values) for c, d in describe_under.items() if c in rows.columns}
+    return Report(n, False, groups, found, table, stats, passed, X.mode_values(rows, cluster, columns), weak, under)
+
+
+def as_json(r: Report, config: X.Config = X.Config()) -> dict:
+    """The report as nested values: what is collected is at most max_groups groups and some numbers for each cluster,
+    column and frequent value."""
+    if r.skipped:
+        return {"n_errors": r.n_errors, "skipped": f"fewer than {config.min_rows} error rows"}
+    enrichment = {(t["cluster"], t["col"], t["value"]): t["enrichment"] for t in r.table.collect()}
+    stats = {(t["cluster"], t["col"]): {k: t[k] for k in ("max", "mean", "sum")} for t in r.stats.collect()}
+    mode = {(t["cluster"], t["col"]): t["value"] for t in r.modes.collect()}
+    passed, weak, under = {}, {}, {}
+    for t in sorted(r.passed.collect(), key=lambda t: t["rank"]):
+        passed.setdefault(t["cluster"], []).append(t["col"])
+    for t in sorted(r.weak.collect(), key=lambda t: t["rank"]) if r.weak is not None else []:
+        weak.setdefault(t["cluster"], []).append({"column": t["col"], "total_enrichment": stats[t["cluster"], t["col"]]})
+    for column, found in r.described.items():
+        for t in found.collect():
+            under.setdefault((t["cluster"], t["direction"], t["node"]), {}).setdefault(column, {})[t["value"]] = t["count"]
+    rows, out = sorted(r.groups.collect(), key=lambda g: g["group_no"]), []
+    for g in rows:
+        c, pinned = g["cluster"], dict(step.split("=", 1) for step in g["whole"])
+        drivers = [{"column": col, "total_enrichment": stats[c, col], "value": value, "value_enrichment": round(enrichment.get((c, col, value), 0.0), 4)} for col in passed.get(c, []) for value in [pinned.get(col, mode.get((c, col)))] if value is not None]
+        out.append({"group": g["group_no"], "archetype": c, "size": g["size"], "share": g["share"], "error_direction_mix": {g["direction"]: g["size"]}, "main_drivers": drivers, "not_important": weak.get(c, [])})
+    trees = {c: tree_json([{**g.asDict(), "cluster": c} for g in rows if g["cluster"] == c], under=under) for c in sorted({g["cluster"] for g in rows})}
+    main = {t["cluster"]: t["direction"] for t in dominant(r.groups).collect()}
+    return {"n_errors": r.n_errors, "groups": out, "archetypes": [{"archetype": c, "direction": main[c], "tree": tree} for c, tree in trees.items()]}
 
 
 def dominant(groups: DataFrame) -> DataFrame:
@@ -154,7 +196,7 @@ def dominant(groups: DataFrame) -> DataFrame:
     return per.groupBy("cluster").agg(F.max_by("direction", F.struct("n", "direction")).alias("direction"))
 
 
-def tree_json(rows: list[dict], depth: int = 0) -> list[dict]:
+def tree_json(rows: list[dict], depth: int = 0, under: dict | None = None) -> list[dict]:
     """Nested nodes of at most max_groups groups, for a JSON artifact: a group that ends above others keeps its own
     rows next to its children."""
     out: dict[tuple, list[dict]] = {}
@@ -170,7 +212,9 @@ def tree_json(rows: list[dict], depth: int = 0) -> list[dict]:
         node: dict = {"step": step[0], "rows": sum(r["size"] for r in members)}
         if ends:
             node["group"], node["own_rows"] = ends[0].get("group_no"), sum(r["size"] for r in ends)
+        if depth and (counts := (under or {}).get((members[0].get("cluster"), members[0]["direction"], " / ".join(members[0]["path"][:depth])))):
+            node["described"] = counts
         if below:
-            node["children"] = tree_json(below, depth + 1)
+            node["children"] = tree_json(below, depth + 1, under)
         nodes.append(node)
     return sorted(nodes, key=lambda n: (-n["rows"], n["step"]))

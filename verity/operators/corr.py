@@ -77,6 +77,10 @@ def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(ok)
 
 
+#: A column counts as constant if its variance is below this share of its mean square (around the overall mean).
+CONSTANT = 1e-14
+
+
 def sums_by(df: DataFrame, columns: list[str], by: list[str], step, complete: bool = False) -> DataFrame:
     """(by..., x): the sum over a group's rows of step(values, present) -> flat array, added up in numpy in each task,
     so that the shuffle is tasks times the array's length. Values are shifted by the columns' means over all rows
@@ -117,19 +121,24 @@ def correlations(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataF
     one is constant. Four matrix products for a batch of rows, whatever the number of columns."""
     by, d = list(by), len(columns)
     step = lambda x, here: np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x]).ravel()
-    upper = [(a, b) for a in range(d) for b in range(a + 1, d)]
-    at = lambda k, a, b: F.element_at("x", k * d * d + a * d + b + 1)
-
-    def r(a: int, b: int) -> Column:
-        n, sa, sb = at(0, a, b), at(1, a, b), at(1, b, a)
-        va, vb = at(2, a, b) - sa * sa / n, at(2, b, a) - sb * sb / n
-        level = 1e-14
-        live = (n > 1) & (va > level * at(2, a, b)) & (vb > level * at(2, b, a))
-        return F.when(live, (at(3, a, b) - sa * sb / n) / F.sqrt(va * vb))
-
-    total = sums_by(df, columns, by, step)
-    cells = F.explode(F.array(*(F.struct(F.lit(columns[a]).alias("i"), F.lit(columns[b]).alias("j"), r(a, b).alias("r")) for a, b in upper))).alias("c")
-    return total.select(*by, cells).select(*by, "c.i", "c.j", "c.r")
+    i, j = np.triu_indices(d, 1)
+    first, second = np.array(columns, object)[i], np.array(columns, object)[j]
+    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, row in frame.iterrows():
+                n, s, q, p = np.asarray(row["x"]).reshape(4, d, d)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    var = q - s * s / n  # of the first column over the rows that have both
+                    live = (n > 1) & (var > CONSTANT * q) & (var.T > CONSTANT * q.T)
+                    r = np.where(live, (p - s * s.T / n) / np.sqrt(var * var.T), np.nan)[i, j]
+                out = pd.DataFrame({"i": first, "j": second, "r": [None if np.isnan(v) else v for v in r]})
+                for k in by[::-1]:
+                    out.insert(0, k, [row[k]] * len(out))
+                yield out
+
+    return sums_by(df, columns, by, step).mapInPandas(run, f"{keys + ', ' if keys else ''}i string, j string, r double")
 
 
 # --- canonical correlation of blocks -------------------------------------------------------------------------

@@ -200,8 +200,29 @@ def tree_nodes(groups: DataFrame) -> DataFrame:
 
 def truncated(groups: DataFrame, enrichment: DataFrame, importance: float) -> DataFrame:
     """Groups with their paths cut before the first value whose own enrichment is under the level (0 if unknown)."""
-    steps = groups.select("cluster", "direction", "path", "size", F.posexplode_outer("path").alias("pos", "step"))
+    rest = [c for c in groups.columns if c != "path"]
+    steps = groups.select(*rest, "path", F.posexplode_outer("path").alias("pos", "step"))
     known = enrichment.select("cluster", F.concat("col", F.lit("="), "value").alias("step"), "enrichment")
     strong = steps.join(known, ["cluster", "step"], "left").withColumn("weak", F.coalesce("enrichment", F.lit(0.0)) < importance)
-    cut = strong.groupBy("cluster", "direction", "path", "size").agg(F.min(F.when(F.col("weak") & F.col("step").isNotNull(), F.col("pos"))).alias("at"))
-    return cut.select("cluster", "direction", F.slice("path", F.lit(1), F.coalesce("at", F.size("path"))).alias("path"), "size", F.col("path").alias("whole"))
+    cut = strong.groupBy(*rest, "path").agg(F.min(F.when(F.col("weak") & F.col("step").isNotNull(), F.col("pos"))).alias("at"))
+    return cut.select(*rest, F.slice("path", F.lit(1), F.coalesce("at", F.size("path"))).alias("path"), F.col("path").alias("whole"))
+
+
+def reasons(signatures: DataFrame, cluster: str = "cluster", n: int = Config.top_reasons) -> DataFrame:
+    """The n source columns with the largest mean contribution, either way, to each cluster, with their rank."""
+    return top_by(signatures, [cluster], [F.desc(F.abs("mean_shap")), F.asc("feature_group")], n)
+
+
+def not_important(reasons: DataFrame, stats: DataFrame, importance: float = 2.0, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Reasons that are crossed but do not pass the gate of drivers: (cluster, col, rank, max, mean, sum)."""
+    named = reasons.select("cluster", F.col("feature_group").alias("col"), "rank").where(~F.col("col").isin(*excluded or ("",)))
+    return named.join(stats.where(F.col("sum") <= importance), ["cluster", "col"])
+
+
+def described(rows: DataFrame, groups: DataFrame, describe: str, driver: str, n: int = 20) -> DataFrame:
+    """Counts of a column's values in the rows under each node of the tree that ends in a driver column: (cluster,
+    direction, node, value, count), the n most frequent and the rest under (other)."""
+    at = F.expr(f"array_position(transform(path, s -> startswith(s, '{driver}=')), true)").cast("int")
+    nodes = groups.withColumn("at", at).where("at > 0").select("group_no", F.struct("cluster", "direction", F.array_join(F.slice("path", F.lit(1), F.col("at")), " / ").alias("node")).alias("n"))
+    named = rows.where("group_no IS NOT NULL").select("group_no", describe).join(F.broadcast(nodes), "group_no")  # at most max_groups nodes
+    return descriptions(named, "n", describe, n).select("n.*", "value", "count")

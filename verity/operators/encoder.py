@@ -80,6 +80,20 @@ class OnnxEncoder:
         return out
 
 
+def describe(encoder: Encoder) -> dict:
+    """What a manifest keeps of an encoder, so that a later table is encoded alike."""
+    names = {"HashingEncoder": ("dim",), "OnnxEncoder": ("model_file", "tokenizer_file", "dim", "max_tokens", "batch", "pooling")}
+    kind = type(encoder).__name__
+    return {"kind": kind, **{k: getattr(encoder, k) for k in names.get(kind, ())}}
+
+
+def from_description(d: dict) -> Encoder:
+    kinds = {"HashingEncoder": HashingEncoder, "OnnxEncoder": OnnxEncoder}
+    if d.get("kind") not in kinds:
+        raise ValueError(f"unknown encoder {d.get('kind')!r}: pass one")
+    return kinds[d["kind"]](**{k: v for k, v in d.items() if k != "kind"})
+
+
 def pooled(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
     """Masked mean (or first token) of hidden states, scaled to length one."""
     x = hidden[:, 0] if how == "first" else (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1), 1)[:, None]

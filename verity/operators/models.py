@@ -71,16 +71,25 @@ def score(df: DataFrame, model: PipelineModel, features: list[str], name: str, t
     return out.drop(*drop).withColumn(f"PRED_{name}", S.flagged(F.col(f"PROBA_{name}"), threshold))
 
 
-def compare(train_rows: DataFrame, test_rows: DataFrame, features: list[str], truth: str, c: TrainConfig = TrainConfig()) -> DataFrame:
-    """Metrics of both backends on the test rows, best F1 first."""
+def fit_all(train_rows: DataFrame, features: list[str], truth: str, c: TrainConfig = TrainConfig(), forbidden: list[str] = ()) -> dict[str, PipelineModel]:
+    return {backend: train(train_rows, features, truth, c, backend, forbidden) for backend in BACKENDS}
+
+
+def ranked(fitted: dict[str, PipelineModel], test_rows: DataFrame, features: list[str], truth: str) -> DataFrame:
+    """Metrics of models on the test rows, best F1 first."""
     out = None
-    for backend in BACKENDS:
-        scored = score(test_rows, train(train_rows, features, truth, c, backend), features, "M").withColumn("__p", F.col("PRED_M") == 1)
+    for backend, model in fitted.items():
+        scored = score(test_rows, model, features, "M").withColumn("__p", F.col("PRED_M") == 1)
         row = metrics.binary(scored, truth, "__p").crossJoin(metrics.roc_auc(scored, truth, "PROBA_M")).select(F.lit(backend).alias("backend"), "*")
         out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc("f1"), "backend")
 
 
+def compare(train_rows: DataFrame, test_rows: DataFrame, features: list[str], truth: str, c: TrainConfig = TrainConfig()) -> DataFrame:
+    """Metrics of both backends on the test rows, best F1 first."""
+    return ranked(fit_all(train_rows, features, truth, c), test_rows, features, truth)
+
+
 def importances(spark: SparkSession, model: PipelineModel, features: list[str], n: int = 20) -> DataFrame:
     """Top features by importance, an indicator counted with its feature."""
     v = model.stages[-1].featureImportances.toArray()

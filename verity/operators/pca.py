@@ -164,8 +164,14 @@ def save(spark: SparkSession, fits: dict[str, Axes], strategy: Strategy, folder:
 
 
 def load(spark: SparkSession, folder: str) -> tuple[Strategy, dict[str, Axes]]:
-    """Saved axes; a folder without a strategy in its manifest counts as pc1."""
-    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
+    """Saved axes; a folder without a strategy in its manifest counts as pc1, as does the older layout of one file for
+    each column, <folder>/<column>.json with mean, axis and ratio."""
+    try:
+        manifest = json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
+    except Exception:
+        old = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("f"), "value").collect()
+        parsed = {r["f"].removesuffix(".json"): json.loads(r["value"]) for r in old}
+        return parse_strategy("pc1"), {c: Axes(np.array(v["mean"], np.float32), np.array([v["axis"]], np.float32), np.array([v["ratio"]])) for c, v in parsed.items()}
     strategy = Strategy(**manifest["strategy"]) if "strategy" in manifest else parse_strategy("pc1")
     fits: dict[str, Axes] = {}
     found = spark.read.parquet(f"{folder}/axes").orderBy("col", "i").collect()  # a few vectors a column
@@ -176,6 +182,12 @@ def load(spark: SparkSession, folder: str) -> tuple[Strategy, dict[str, Axes]]:
     return strategy, fits
 
 
+def report(spark: SparkSession, fits: dict[str, Axes], n: int = 5) -> DataFrame:
+    """(col, component, ratio, cumulative) of the first n components of each column."""
+    rows = [(c, k + 1, float(a.ratios[k]), float(a.ratios[: k + 1].sum())) for c, a in sorted(fits.items()) for k in range(min(n, len(a.ratios)))]
+    return spark.createDataFrame(rows, "col string, component int, ratio double, cumulative double")
+
+
 def complete(spark: SparkSession, folder: str, strategy: Strategy, columns: list[str]) -> bool:
     """Whether saved axes fit the strategy and cover the columns, so that no new fit is needed."""
     try:

@@ -103,6 +103,7 @@ def write_atomic(df: DataFrame, path: str) -> None:
         raise OSError(f"could not move {path} aside")
     if not fs.rename(new, target):
         back = fs.rename(old, target)
+        fs.delete(new, True)
         raise OSError(f"could not move {staging} to {path}; the old table is {'back' if back else f'in {old}'}")
     fs.delete(old, True)
 
@@ -119,6 +120,11 @@ def glob(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select("*", F.regexp_replace(name, r"(\.scored)?\.parquet$", "").alias("stem"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def latest(spark: SparkSession, pattern: str) -> str:
     """Of the paths that match the one changed last (ties: the last by name), for the newest run or cache; none: an error."""
     fs, p = _path(spark, pattern)
