@@ -86,7 +86,8 @@ def sums_by(df: DataFrame, columns: list[str], by: list[str], step, complete: bo
     so that the shuffle is tasks times the array's length. Values are shifted by the columns' means over all rows
     (large offsets would eat the digits of products), missing ones are 0 and not present."""
     keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-    slim = df.select(*by, F.array(*(F.col(c).cast("double") for c in columns)).alias("__v"))
+    cells = [f"__{k}" for k in range(len(columns))]
+    slim = df.select(*by, *(F.col(c).cast("double").alias(n) for c, n in zip(columns, cells, strict=True)))
     means = finite(df, columns).agg(*(F.avg(c).alias(c) for c in columns)).first()
     shift = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
 
@@ -94,7 +95,7 @@ def sums_by(df: DataFrame, columns: list[str], by: list[str], step, complete: bo
         acc: dict[tuple, np.ndarray] = {}
         for f in frames:
             for key, part in f.groupby(list(by), dropna=False, sort=False) if by else [((), f)]:
-                x = np.array([[np.nan if e is None else e for e in v] for v in part["__v"]], np.float64).reshape(-1, len(columns)) - shift
+                x = part[cells].to_numpy(np.float64) - shift
                 here = np.isfinite(x)
                 if complete:
                     x, here = x[here.all(1)], here[here.all(1)]
@@ -106,8 +107,8 @@ def sums_by(df: DataFrame, columns: list[str], by: list[str], step, complete: bo
             yield pd.DataFrame([[*key, x.tolist()] for key, x in acc.items()], columns=[*by, "x"])
 
     parts = slim.mapInPandas(run, f"{keys + ', ' if keys else ''}x array<double>")
-    cells = parts.select(*by, F.posexplode("x").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"))
-    return cells.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("x"))
+    long = parts.select(*by, F.posexplode("x").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"))
+    return long.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("x"))
 
 
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,10 +117,28 @@ def finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x).alias(c) for c, x in each.items()))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows where both are there; null where one is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+#: Most columns whose correlations are plain aggregates.
+PLAIN_COLUMNS = 8
+
+
 def correlations(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """Upper triangle in long form: by..., i, j, r, over the rows where both columns are there and finite; null where
-    one is constant. Four matrix products for a batch of rows, whatever the number of columns."""
+    one is constant. A few columns are plain aggregates; for more, whose pairs would make too large an aggregate, four
+    matrix products for a batch of rows."""
     by, d = list(by), len(columns)
+    if d <= PLAIN_COLUMNS:
+        pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
+        wide = df.withColumns({c: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) for c in columns for x in [F.col(c).cast("double")]})
+        wide = wide.groupBy(*by).agg(*(pearson(F.col(a), F.col(b)).alias(f"__{k}") for k, (a, b) in enumerate(pairs)))
+        cells = F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"__{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("c")
+        return wide.select(*by, cells).select(*by, "c.i", "c.j", "c.r")
     step = lambda x, here: np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x]).ravel()
     i, j = np.triu_indices(d, 1)
     first, second = np.array(columns, object)[i], np.array(columns, object)[j]
