@@ -25,7 +25,10 @@ PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; if its scan has fewer splits than there are cores, rows are dealt out, so that a file of one row group
+    does not leave all but one of them idle."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def quoted(df: DataFrame, name: str):
