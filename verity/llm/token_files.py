@@ -18,7 +18,9 @@ by text; an empty table gives no shard with documents.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import json
 import os
 import uuid
@@ -43,13 +45,14 @@ class ChunkEncoder:
     whole texts in the tests): no token and no normalisation of theirs reaches across white space.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: np.dtype, cache_chunks: int = 300_000, cache_stems: int = 900_000):
+    def __init__(self, tokenizer_file: str, dtype: np.dtype, cache_chunks: int = 400_000, cache_stems: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.limit = Tokenizer.from_file(tokenizer_file), dtype, cache_chunks
         self.stem_limit, self.stems = cache_stems, {}
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -59,49 +62,68 @@ class ChunkEncoder:
         """Ids of each text as bytes of the file format."""
         cut = [t.split() for t in batch]
         wanted = set().union(*cut) if cut else set()
-        missing = [c for c in wanted if c not in self.cache]
+        missing = wanted.difference(self.cache)
         if len(self.cache) + len(missing) > self.limit:
-            self.cache.clear()
-            missing = list(wanted)
-        for a in range(0, len(missing), 20_000):
-            self._learn([c.decode() for c in missing[a : a + 20_000]])
+            # The last full cache is kept as the older one, so that frequent chunks are not learnt again.
+            self.older, self.cache = self.cache, {}
+            missing = wanted
+        if self.older:
+            known = missing.intersection(self.older)
+            self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            missing = missing.difference(known)
+        rest = list(missing)
+        for a in range(0, len(rest), 20_000):
+            self._learn(rest[a : a + 20_000])
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
         """Letters with punctuation behind them: stem and punctuation each have their own ids, and stems stay in a
         cache of their own. New stems are encoded together in one text and told apart by word ends."""
-        split, stems, rest = {}, set(), []
-        for c in chunks:
+        split, rest, known = [], [], self.stems
+        for chunk, c in zip(chunks, b" ".join(chunks).decode().split(" "), strict=True):
             stem = c.rstrip(PUNCTUATION)
-            if not stem.isalpha():
-                rest.append(c)
-                continue
-            folded = stem.lower() if stem.isascii() else stem
-            split[c] = (folded, c[len(stem) :])
-            if folded not in self.stems:
-                stems.add(folded)
-        if len(self.stems) + len(stems) > self.stem_limit:
-            self.stems.clear()
-            stems = {folded for folded, _ in split.values()}
-        new = list(stems)
+            if stem.isalpha():
+                split.append((chunk, stem.lower() if stem.isascii() else stem, c[len(stem) :]))
+            else:
+                rest.append((chunk, c))
+        stems = {folded for _, folded, _ in split}
+        if len(known) + len(stems) > self.stem_limit:
+            known.clear()
+        new = list(stems.difference(known))
         ids = np.array(self.batch([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.word_end[ids]) + 1 if len(ids) else ids
         if len(ends) == len(new):
-            raw, size, at = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
-            for stem, end in zip(new, ends.tolist(), strict=True):
-                self.stems[stem] = raw[at * size : end * size]
-                at = end
+            raw, cuts = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
+            known.update(zip(new, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         else:  # a letter that the tokenizer takes apart
-            rest += [c for c, (folded, _) in split.items() if folded in stems]
-            split = {c: v for c, v in split.items() if v[0] not in stems}
-        for c, (folded, tail) in split.items():
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, self.dtype).tobytes()
-            self.cache[c.encode()] = self.stems[folded] + self.tails[tail]
-        for c, e in zip(rest, self.batch(rest, add_special_tokens=False), strict=True):
-            self.cache[c.encode()] = np.array(e.ids, self.dtype).tobytes()
+            odd = set(new)
+            rest += [(chunk, chunk.decode()) for chunk, folded, _ in split if folded in odd]
+            split = [x for x in split if x[1] not in odd]
+        for tail in {t for _, _, t in split}.difference(self.tails):
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[tail] = self._ids(tail)
+        tails = self.tails
+        if any(t not in tails for _, _, t in split):  # more kinds of punctuation than are kept
+            tails = {t: self._ids(t) for t in {t for _, _, t in split}}
+        self.cache.update([(chunk, known[folded] + tails[tail]) for chunk, folded, tail in split])
+        for (chunk, _), e in zip(rest, self.batch([c for _, c in rest], add_special_tokens=False), strict=True):
+            self.cache[chunk] = np.array(e.ids, self.dtype).tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+
+@contextlib.contextmanager
+def acyclic():
+    """No search for cycles meanwhile: it would walk through the caches again and again, and nothing here makes any."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 @functools.cache
@@ -132,7 +154,8 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col
         with store.open_output_stream(f"{name}.{attempt}") as out:
             for batch in batches:
                 for piece in pieces(batch, "text"):
-                    coded = [c + end for c in coder.encode(texts(piece))]
+                    with acyclic():
+                        coded = [c + end for c in coder.encode(texts(piece))]
                     out.write(b"".join(coded))
                     lengths.append(np.array([len(c) for c in coded], "<i8") // dtype.itemsize)
                     nulls += piece.column("doc_id").null_count
