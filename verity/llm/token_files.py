@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.llm.common import pieces, quoted, shared_dir, table, texts, total_bytes
+from verity.llm.hashing import Words
+from verity.llm.passages import flat
 
 #: ASCII punctuation without the apostrophe, which the tokenizer joins with letters.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -45,38 +47,47 @@ class ChunkEncoder:
     whole texts in the tests): no token and no normalisation of theirs reaches across white space.
     """
 
-    def __init__(self, tokenizer_file: str, dtype: np.dtype, cache_chunks: int = 400_000, cache_stems: int = 900_000):
+    def __init__(self, tokenizer_file: str, dtype: np.dtype, cache_chunks: int = 600_000, cache_stems: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.limit = Tokenizer.from_file(tokenizer_file), dtype, cache_chunks
         self.stem_limit, self.stems = cache_stems, {}
         self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of each text as bytes of the file format."""
-        cut = [t.split() for t in batch]
-        wanted = set().union(*cut) if cut else set()
-        missing = wanted.difference(self.cache)
-        if len(self.cache) + len(missing) > self.limit:
-            # The last full cache is kept as the older one, so that frequent chunks are not learnt again.
-            self.older, self.cache = self.cache, {}
-            missing = wanted
-        if self.older:
-            known = missing.intersection(self.older)
-            self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
-            missing = missing.difference(known)
-        rest = list(missing)
-        for a in range(0, len(rest), 20_000):
-            self._learn(rest[a : a + 20_000])
-        return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut]
-
-    def _learn(self, chunks: list[bytes]) -> None:
+        """Ids of each text as bytes of the file format.
+
+        Chunks of all texts are hashed at once, distinct ones looked up or learnt, and their ids gathered in place.
+        Two chunks of a batch with one 64-bit hash would be taken for one: for the chunks of 100 TB in batches of 1 MB
+        that happens once with a probability under one in a hundred. Cached chunks are compared by their bytes.
+        """
+        w = Words(batch)
+        key, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
+        chunks = [w.raw[i:j] for i, j in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        found = list(map(self.cache.get, chunks))
+        missing = [c for c, f in zip(chunks, found, strict=True) if f is None]
+        if missing:
+            if len(self.cache) + len(missing) > self.limit:
+                self.cache.clear()
+            learnt: dict[bytes, bytes] = {}
+            for a in range(0, len(missing), 20_000):
+                self._learn(missing[a : a + 20_000], learnt)
+            self.cache.update(learnt)
+            found = [learnt[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        data, at = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
+        count = size[place]
+        cuts = np.concatenate([[0], np.cumsum(count)])[w.first]
+        raw = data[flat(at[place], count)].tobytes()
+        cuts = (cuts * self.dtype.itemsize).tolist()
+        return [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, chunks: list[bytes], learnt: dict[bytes, bytes]) -> None:
         """Letters with punctuation behind them: stem and punctuation each have their own ids, and stems stay in a
         cache of their own. New stems are encoded together in one text and told apart by word ends."""
         split, rest, known = [], [], self.stems
@@ -106,9 +117,9 @@ class ChunkEncoder:
         tails = self.tails
         if any(t not in tails for _, _, t in split):  # more kinds of punctuation than are kept
             tails = {t: self._ids(t) for t in {t for _, _, t in split}}
-        self.cache.update([(chunk, known[folded] + tails[tail]) for chunk, folded, tail in split])
+        learnt.update([(chunk, known[folded] + tails[tail]) for chunk, folded, tail in split])
         for (chunk, _), e in zip(rest, self.batch([c for _, c in rest], add_special_tokens=False), strict=True):
-            self.cache[chunk] = np.array(e.ids, self.dtype).tobytes()
+            learnt[chunk] = np.array(e.ids, self.dtype).tobytes()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
