@@ -112,7 +112,7 @@ def silhouette(df: DataFrame, vector: str, cluster: str, block: int = 2048) -> f
     return got["s"] / got["n"]
 
 
-def choose_k(df: DataFrame, vector: str, key: str, low: int = 2, high: int = 8, n: int | None = None, seeds: int = 3) -> int:
+def choose_k(df: DataFrame, vector: str, key: str, low: int = 2, high: int = 8, n: int | None = None, seeds: int = 10) -> int:
     n = n if n is not None else df.count()
     best = (-2.0, 1)
     for k in range(low, min(high, n - 1) + 1):
