@@ -282,7 +282,7 @@ def test_suffix_dedup(docs, many_blocks):
         spans = sum(c and not p for p, c in zip([False, *cover], cover, strict=False))
         want.append((i, len(b), sum(cover), spans, hashlib.sha256(kept).hexdigest()))
     assert sum(r[2] for r in want) > 5000
-    assert listed(suffix_dedup.remove_repeats(df, hot=4), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(want)
+    assert listed(suffix_dedup.remove_repeats(df, hot=4, fan_bits=3), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(want)
     assert suffix_dedup.remove_repeats(empty(docs)).collect() == []
 
 
