@@ -275,7 +275,7 @@ def test_workflows_and_stream(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{folder}/logs/columns").count() == 1
     assert "## model gbt" in spark.read.text(f"{folder}/reports/{row['run_id']}/markdown", wholetext=True).first()["value"]
 
-    report = workflows.explain(spark, done, roles, folder, k=2)
+    report = workflows.explain(spark, done, roles, folder, k=2, plots=True)
     assert report.n_errors >= 20 and report.assignments.count() == report.n_errors
     told = files.read_json(spark, f"{folder}/report")
     sizes = {(r["ERROR_GROUP"], r["ERROR_CLUSTER"], r["ERROR_DIRECTION"]): r["count"] for r in spark.read.parquet(f"{folder}/assignments").where("ERROR_GROUP IS NOT NULL").groupBy("ERROR_GROUP", "ERROR_CLUSTER", "ERROR_DIRECTION").count().collect()}
@@ -289,7 +289,9 @@ def test_workflows_and_stream(spark, tmp_path):
     assert {r["feature_group"] for r in spark.read.option("header", True).csv(f"{folder}/importance_by_column").collect()} == {"name", "x"}
     assert workflows.explain(spark, done, roles, folder, sample=25, cluster=False) is None and spark.read.parquet(f"{folder}/shap").select("id").distinct().count() == 25
 
-    features, blocks = cli.main(["grids", "--columns", columns, "--folder", folder], spark)
+    features, blocks = cli.main(["grids", "--columns", columns, "--folder", folder, "--plots"], spark)
+    drawn = [r["p"].rsplit("/", 1)[-1] for r in spark.read.text(f"{folder}/plots/*.svg", wholetext=True).select(F.col("_metadata.file_path").alias("p")).collect()]
+    assert {"importance_feature_group.svg", "importance_feature.svg", "contributions.svg"} <= set(drawn) and len(drawn) == 3 + features.select("place").distinct().count() + blocks.select("place").distinct().count()
     assert features.where("place = 'x' AND i = 'x' AND j = 'truth'").count() == 1
     assert {(r["i"], r["j"]) for r in blocks.collect()} == {("x", "name"), ("x", "truth"), ("name", "truth")}
     shares = cli.main(["variance", "--columns", columns, "--folder", folder], spark).collect()
@@ -445,3 +447,82 @@ def test_silhouette_counts_every_row(spark):
     for block in (2048, 300):
         assert clusters.silhouette(df, "v", "c", block=block) == pytest.approx(np.mean(want), abs=1e-9)
     assert clusters.silhouette(df.withColumn("c", F.lit(0)), "v", "c") is None
+
+
+def test_charts(spark, tmp_path):
+    """Well-formed SVG with a mark for each value, labels escaped, blanks for missing values; too many marks are refused."""
+    import xml.etree.ElementTree as ET
+
+    from verity.plans import charts
+
+    kinds = lambda svg: [e.tag.rsplit("}", 1)[-1] for e in ET.fromstring(svg).iter()]
+    grid = charts.heatmap({("a<b", "x"): -1.0, ("a<b", "y"): None, ("c", "x"): 0.25}, "t & u", ["a<b", "c"], ["x", "y"])
+    assert kinds(grid).count("rect") == 5 and kinds(grid).count("title") == 4 and ">-1.00<" in grid and "no value" in grid
+    assert charts.colour(-1, -1, 1) == charts.LOW and charts.colour(0, -1, 1) == charts.MIDDLE and charts.colour(9, -1, 1) == charts.HIGH and charts.colour(0, 0, 1) == charts.LIGHT
+    assert kinds(charts.bars([("p", 2.0), ("q", 0.0)], "t")).count("rect") == 3 and kinds(charts.bars([], "t")).count("rect") == 1
+    dots = charts.swarm([("p", 0.1, 1.0), ("p", 0.1, None), ("q", -0.2, float("nan"))], "t", ["p", "q"])
+    assert kinds(dots).count("circle") == 3
+    charts.save(spark, grid, f"{tmp_path}/plots/{charts.file_name('a/b', 1)}.svg")
+    assert (tmp_path / "plots" / "a_b_1.svg").read_text() == grid
+    assert len(charts.rows_of(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        charts.rows_of(spark.range(6), 5)
+
+
+def field(number: int, value) -> bytes:
+    """One field of a protocol buffer: a number, or bytes or text with its length."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    data = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def lookup_model(table: np.ndarray) -> bytes:
+    """An ONNX model that looks token ids up in a table: (batch, tokens) -> (batch, tokens, width)."""
+
+    def tensor(name: str, kind: int, dims: int) -> bytes:
+        shape = b"".join(field(1, field(2, f"{name}{k}")) for k in range(dims))
+        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
+
+    weights = field(1, table.shape[0]) + field(1, table.shape[1]) + field(2, 1) + field(8, "table") + field(9, table.astype("<f4").tobytes())
+    node = field(1, "table") + field(1, "input_ids") + field(2, "hidden") + field(4, "Gather")
+    graph = field(1, node) + field(2, "lookup") + field(5, weights) + field(11, tensor("input_ids", 7, 2)) + field(12, tensor("hidden", 1, 3))
+    return field(1, 8) + field(7, graph) + field(8, field(2, 13))
+
+
+def test_onnx_encoder_runs_a_model(spark, tmp_path):
+    """Weights are found in a folder, lengths are mixed, both modes and both poolings equal plain sums."""
+    from tokenizers import Tokenizer
+    from tokenizers import models as kinds
+    from tokenizers import pre_tokenizers
+
+    words = ["[UNK]", *"abcdef"]
+    tokenizer = Tokenizer(kinds.WordLevel({w: k for k, w in enumerate(words)}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    table = np.random.default_rng(1).normal(size=(len(words), 5)).astype(np.float32)
+    with pytest.raises(FileNotFoundError):
+        encoder.weights_in(str(tmp_path))
+    (tmp_path / "onnx").mkdir()
+    (tmp_path / "onnx" / "model.onnx").write_bytes(lookup_model(table))
+    assert encoder.weights_in(str(tmp_path)).endswith("onnx/model.onnx")  # no 8-bit weights there
+    texts = ["a", "b c d e f a b", "zz a", "f f", "c", "a b c", "e d"]
+    ids = [[words.index(w) if w in words else 0 for w in t.split()] for t in texts]
+    for pooling, pick in (("mean", lambda i: table[i[:6]].mean(0)), ("first", lambda i: table[i[0]])):
+        want = np.array([pick(i) / np.linalg.norm(pick(i)) for i in ids])
+        for mode in ("single_pass", "per_batch"):
+            enc = encoder.OnnxEncoder(str(tmp_path), str(tmp_path / "tokenizer.json"), 5, max_tokens=6, batch=3, pooling=pooling, mode=mode)
+            assert np.allclose(enc.open().encode(texts), want, atol=1e-6) and enc.encode([]).shape == (0, 5)
+            assert encoder.describe(encoder.from_description(encoder.describe(enc))) == encoder.describe(enc)
+    df = spark.createDataFrame([(t,) for t in texts * 2], "t string")
+    got = {r["text"]: r["vector"] for r in encoder.build(df, ["t"], enc).collect()}  # opened before it is sent to the workers
+    assert np.allclose([got[t] for t in texts], want, atol=1e-6)
+    with pytest.raises(ValueError):
+        encoder.OnnxEncoder("m", "t", 5, mode="other")

@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--rebuild", action="store_true", help="fit the axes and make the model input again")
     t.add_argument("--from-scratch", action="store_true", help="remove all artifacts of the folder first")
     t.add_argument("--grids", action="store_true", help="tables of correlations")
+    t.add_argument("--plots", action="store_true", help="tables of correlations, and their heat maps")
     second = t.add_mutually_exclusive_group()
     second.add_argument("--train-model-2", action="store_true")
     second.add_argument("--only-model-2", action="store_true")
@@ -38,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--shap", action="store_true", help="attributions, importances and the report")
     a.add_argument("--shap-sample", type=int)
     a.add_argument("--no-cluster", action="store_true")
+    a.add_argument("--plots", action="store_true", help="with --shap: bars and a swarm of the attributions")
     s = sub.add_parser("sweep")
     s.add_argument("--reductions", nargs="+", default=["pc1", "top5", "adaptive_0.95"])
     s.add_argument("--skip-on-error", action="store_true")
@@ -45,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     x = sub.add_parser("axes", help="the axes alone")
     v = sub.add_parser("variance", help="the first components' shares of variance")
     g = sub.add_parser("grids", help="tables of correlations of the newest model input")
+    g.add_argument("--plots", action="store_true", help="and their heat maps")
     for q in (m, x):
         q.add_argument("--reduction", default="top5")
         q.add_argument("--rebuild", action="store_true")
@@ -76,7 +79,7 @@ def main(argv: list[str] | None = None, spark=None) -> object:
         return pca.report(spark, pca.load(spark, f"{o.folder}/reduction")[1])
     if o.verb == "grids":
         newest = files.latest(spark, f"{o.folder}/cache/*") if files.exists(spark, f"{o.folder}/cache") else f"{o.folder}/model_input"
-        return workflows.grids(spark, spark.read.parquet(newest), models.load(spark, f"{o.folder}/model_1")[1]["feature_columns"], columns, o.folder)
+        return workflows.grids(spark, spark.read.parquet(newest), models.load(spark, f"{o.folder}/model_1")[1]["feature_columns"], columns, o.folder, plots=o.plots)
     if o.verb == "audit":
         return _audit(spark, o, columns)
     df = spark.read.parquet(o.table)
@@ -96,8 +99,8 @@ def main(argv: list[str] | None = None, spark=None) -> object:
     out = None
     if not o.only_model_2:
         out = workflows.train(spark, df, columns, o.folder, o.reduction, inputs=[o.table], groups=None if o.full else o.groups, rebuild=o.rebuild)
-        if o.grids:
-            main(["grids", "--columns", o.columns, "--folder", o.folder], spark)
+        if o.grids or o.plots:
+            main(["grids", "--columns", o.columns, "--folder", o.folder, *(["--plots"] if o.plots else [])], spark)
     if o.train_model_2 or o.only_model_2:
         out = workflows.train_model_2(spark, o.scored or f"{o.folder}/scored/*.scored.parquet", columns, o.folder)
     return out
@@ -119,7 +122,7 @@ def _audit(spark, o: argparse.Namespace, columns: workflows.Columns) -> object:
     scored = workflows.audit(spark, spark.read.parquet(table), columns, o.folder, output or f"{o.folder}/scored/{stem}.scored.parquet", not o.no_model_2, o.model_1_dir, o.model_2_dir, force_encode=o.force_embed)
     if not o.shap:
         return scored
-    return workflows.explain(spark, scored, columns, o.folder, sample=o.shap_sample, cluster=not o.no_cluster, model_2=o.model_2_dir)
+    return workflows.explain(spark, scored, columns, o.folder, sample=o.shap_sample, cluster=not o.no_cluster, model_2=o.model_2_dir, plots=o.plots)
 
 
 if __name__ == "__main__":
