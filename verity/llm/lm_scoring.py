@@ -16,7 +16,7 @@ The strength k of an order is the one at which the model expects as many first f
 and Turing's estimate: the sum of k / (c(h) + k) over its tokens is the number of n-grams of that order that occur
 once. It comes from the counts of counts over the whole corpus.
 
-Counts come from all documents. A block asks about its distinct n-grams of all orders by exchange.Counts, gets each
+Counts come from all documents. A block asks about its distinct n-grams of all orders by GramCounts (an exchange), gets each
 one's count, and builds the part of the automaton that its texts can reach. N-grams are told apart by 61-bit hashes
 and their order: of 10^12 distinct ones about 2 * 10^5 share a hash with another one.
 
@@ -31,6 +31,7 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,6 +211,48 @@ def strengths(totals: list[tuple[int, int, int, int]], order: int) -> list[float
     return out
 
 
+class GramCounts(exchange.Counts):
+    """Counts of n-grams in fewer bytes: a hash and its order are nearly random, so what can be saved is in how they
+    are written. Hashes travel as differences, the low bytes of a difference as they are; what is above them (a byte,
+    255: the 64-bit tail has the whole difference), and order and number (a byte, from 31 on the number is in the
+    tail) are few different values, which an entropy coder takes to little more than they say."""
+
+    def __init__(self, summary, bits: int):
+        super().__init__(summary)
+        self.low = 64 - bits - ORDER_BITS
+
+    def pack(self, request) -> bytes:
+        key, value = request
+        order = (key >> U(self.low)) & U((1 << ORDER_BITS) - 1)
+        gap = np.diff(key >> U(self.low + ORDER_BITS), prepend=U(0))
+        # As many low bytes that what is above them is 64 on average at most.
+        width = max(0, min(7, (max(1, int(gap[1:].mean()) if len(gap) > 1 else 1).bit_length() + 1) // 8))
+        above = gap >> U(8 * width)
+        far, many = above >= 255, value >= 31
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        streams = [squeeze(np.where(far, 255, above).astype(np.uint8).tobytes()), squeeze((np.where(many, 31, value).astype(np.uint8) << ORDER_BITS | order.astype(np.uint8)).tobytes())]
+        head = np.array([len(key), width, far.sum(), *map(len, streams)], "<u4")
+        low = np.ascontiguousarray(gap.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+        return b"".join([head.tobytes(), *streams, low.tobytes(), gap[far].astype("<u8").tobytes(), value[many].astype("<u8").tobytes()])
+
+    def unpack(self, data: bytes):
+        n, width, far, *lengths = np.frombuffer(data, "<u4", 5).tolist()
+        at, streams, opener = 20, [], zstandard.ZstdDecompressor()
+        for length in lengths:
+            streams.append(np.frombuffer(opener.decompress(data[at : at + length]), np.uint8))
+            at += length
+        above, both = streams
+        gap = np.zeros((n, 8), np.uint8)
+        gap[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+        gap = gap.view("<u8").ravel() | above.astype(U) << U(8 * width)
+        at += n * width
+        gap[above == 255] = np.frombuffer(data, "<u8", far, at)
+        value = (both >> ORDER_BITS).astype(np.int64)
+        value[value == 31] = np.frombuffer(data, "<u8", offset=at + 8 * far)
+        order = (both & ((1 << ORDER_BITS) - 1)).astype(U)
+        return (np.cumsum(gap, dtype=U) << U(ORDER_BITS) | order) << U(self.low), value
+
+
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -217,7 +260,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     dealt, n = deal(docs, id_col, text_col, BLOCK_BYTES)
     bits = min(64 - ORDER_BITS, SPARE_BITS + (order * n * BLOCK_BYTES // 6).bit_length())
-    kind = exchange.Counts(lambda key, total: counted(key, total, bits))
+    kind = GramCounts(lambda key, total: counted(key, total, bits), bits)
 
     def ask(t: pa.Table) -> pa.Table:
         g = Grams.of(t, order, modulus, held, bits)
