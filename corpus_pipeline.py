@@ -21,7 +21,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (named by SimHash and its tries, then a five-word Jaccard of 0.8 or more) the document
+    with the smallest id stays."""
     return near_copies.representatives(docs)
 
 

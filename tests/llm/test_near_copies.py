@@ -91,3 +91,47 @@ def test_pipeline_stage_drops_pairs_beyond_three_bits(spark):
     got = sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
     assert got == brute(rows)[0]
     assert "1" in got and "177" not in got and "145" not in got
+
+
+def test_tries_over_two_words():
+    """Links of roots over rows of two words against brute force, with and without linking neighbours first."""
+    import numpy as np
+
+    from verity.llm.simhash import trie_join
+
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 64, (300, 2), np.uint64)
+    flips = np.packbits(rng.random((150, 128)) < 0.08, axis=1).view(">u8").astype(np.uint64)
+    values[:150] = values[rng.integers(0, 3, 150)] ^ flips
+    root = (values[:, 0] >> np.uint64(62)).astype(np.int64)
+    order = np.lexsort((values[:, 1], values[:, 0], root))
+    root, values = root[order], values[order]
+    near = (np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2) <= 32) & (root[:, None] == root[None])
+    want = np.arange(300)
+    while not np.array_equal(low := np.where(near, want[None], 300).min(axis=1), want):
+        want = low
+    assert 10 < len(np.unique(want)) < 290
+    for neighbours in (0, 4):
+        for frontier in (16, 1 << 16):
+            assert np.array_equal(trie_join(root, values, 32, frontier, neighbours).roots(), want)
+
+
+def test_stage_names_candidates_by_simhash(spark):
+    """Near copies share a band of the tries' roots, other texts none; a bit is the majority of a set's values."""
+    import numpy as np
+
+    rng = random.Random(5)
+    raw = []
+    for _ in range(60):
+        text = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        raw += [" ".join(text).encode(), " ".join([*text[:-2], "p", "q"]).encode()]
+    keys, sets, prints = near_copies.prints_of(raw, 5, 18)
+    mixed = near_copies.mix(sets[7] + np.uint64(0x9E3779B97F4A7C15 * 3 & (1 << 64) - 1))
+    assert int(prints[7, 1]) == sum(1 << b for b in range(64) if 2 * int((mixed >> np.uint64(b) & np.uint64(1)).sum()) > len(mixed))
+    own = np.array(keys, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in zip(own, prints, strict=True)], "set long, print binary")
+    for words, parts in ((18, 5), (18, 4), (18, 3)):
+        bands = {}
+        for r in near_copies.candidates(df, words, parts, 2000).collect():
+            bands.setdefault(r["band"], set()).add(own.index(r["set"]))
+        assert {tuple(sorted(b)) for b in bands.values()} == {(k, k + 1) for k in range(0, 120, 2)}

@@ -59,15 +59,27 @@ def fingerprints_of(raw: list[bytes], shingle: int = 3, seed: int = 42) -> np.nd
     return out
 
 
-def trie_join(root: np.ndarray, values: np.ndarray, bits: int, frontier: int = 1 << 20) -> Forest:
-    """Forest over the entries (sorted by root, then value): links of values of one root within `bits`.
+def trie_join(root: np.ndarray, values: np.ndarray, bits: int, frontier: int = 1 << 20, neighbours: int = 0) -> Forest:
+    """Forest over the entries (sorted by root, then value): links of values of one root within `bits`. A value is a
+    64-bit word, or a row of them, the first words being the upper bits.
 
     Nodes are ranges of the sorted array. A pair of nodes is (lo, hi, lo, hi, differing bits, depth); pairs are
-    taken off a stack in blocks of at most `frontier`, so memory stays bounded.
+    taken off a stack in blocks of at most `frontier`, so memory stays bounded. With `neighbours`, entries are linked
+    with as many that follow them first, and pairs of nodes that this has made one component do not go down: a large
+    group of close values then costs its runs in the array and not its pairs.
     """
     forest = Forest(len(values))
     if len(values) < 2:
         return forest
+    words = [np.ascontiguousarray(w) for w in values.reshape(len(values), -1).T]
+    length = 64 * len(words)
+    differ = lambda a, b: sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
+    for k in range(1, min(neighbours, len(values) - 1) + 1):
+        a = np.flatnonzero(root[k:] == root[:-k])
+        a = a[differ(a, a + k) <= bits]
+        forest.union(a, a + k)
+    known = forest.roots()
+    run = np.cumsum(np.diff(known, prepend=known[:1]) != 0)
     edge = np.flatnonzero(np.diff(root)) + 1
     lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(values)]])
     many = hi - lo > 1
@@ -82,16 +94,19 @@ def trie_join(root: np.ndarray, values: np.ndarray, bits: int, frontier: int = 1
             alo, ahi, blo, bhi, diff = alo[:half], ahi[:half], blo[:half], bhi[:half], diff[:half]
             stack.append((depth, alo, ahi, blo, bhi, diff))
             continue
+        if neighbours:
+            open_ = (run[ahi - 1] != run[alo]) | (run[bhi - 1] != run[blo]) | (known[alo] != known[blo])
+            alo, ahi, blo, bhi, diff = (x[open_] for x in (alo, ahi, blo, bhi, diff))
         leaf = (ahi - alo == 1) & (bhi - blo == 1)
         if leaf.any():  # single values: the remaining bits at once
             a, b = alo[leaf], blo[leaf]
-            near = np.bitwise_count(values[a] ^ values[b]) <= bits
+            near = differ(a, b) <= bits
             forest.union(a[near], b[near])
             alo, ahi, blo, bhi, diff = (x[~leaf] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo):
             continue
         # A node none of whose members can differ in more than the budget is linked as a whole.
-        whole = (64 - depth) + diff <= bits
+        whole = (length - depth) + diff <= bits
         if whole.any():
             for x, y, z, w in zip(alo[whole], ahi[whole], blo[whole], bhi[whole], strict=True):
                 m = np.concatenate([np.arange(x, y), np.arange(z, w)])
@@ -99,7 +114,7 @@ def trie_join(root: np.ndarray, values: np.ndarray, bits: int, frontier: int = 1
             alo, ahi, blo, bhi, diff = (x[~whole] for x in (alo, ahi, blo, bhi, diff))
             if not len(alo):
                 continue
-        am, bm = _split(values, alo, ahi, depth), _split(values, blo, bhi, depth)
+        am, bm = (_split(words[depth // 64], x, y, depth % 64) for x, y in ((alo, ahi), (blo, bhi)))
         own = alo == blo
         kids = [
             (alo, am, blo, bm, diff, np.ones(len(alo), bool)),
