@@ -135,3 +135,37 @@ def test_stage_names_candidates_by_simhash(spark):
         for r in near_copies.candidates(df, words, parts, 2000).collect():
             bands.setdefault(r["band"], set()).add(own.index(r["set"]))
         assert {tuple(sorted(b)) for b in bands.values()} == {(k, k + 1) for k in range(0, 120, 2)}
+
+
+def test_texts_without_near_copies_are_not_dealt(spark):
+    """What a run leaves in shuffle files: only texts that may have near copies, or may have to go, travel."""
+    import os
+
+    rng = random.Random(4)
+    words = [f"w{k:06d}" for k in range(100_000)]
+    rows = [(k, " ".join(rng.choices(words, k=1500))) for k in range(400)]
+    rows += [(400 + k, f"{t} more") for k, t in rows[:4]] + [(1, rows[1][1]), (None, rows[2][1])]
+    size = sum(len(t) for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    held = lambda: {p: os.path.getsize(p) for d, _, names in os.walk(root) for x in names if x.startswith("shuffle_") and os.path.exists(p := os.path.join(d, x))}
+    old = held()
+    got = near_copies.representatives(df).collect()
+    made = sum(n for p, n in held().items() if p not in old)
+    assert sorted(r["doc_id"] for r in got) == list(range(400))
+    assert made < size / 4
+
+
+def test_sieve_passes_every_key(spark):
+    from pyspark.sql import functions as F
+
+    from verity.llm.sieve import SEGMENT, sieve
+
+    rows = spark.range(40_000).select((F.col("id") % 7 == 0).alias("null"), "id")
+    keys = rows.where("id % 4 = 0")
+    for most, other in ((1 << 26, 900), (SEGMENT, 6_000)):  # of 30,000 others; by calculation 1 %, and 7 % with 6.5 bits a key
+        passed = rows.where(sieve(keys, ["null", "id"], most))
+        assert passed.where("id % 4 = 0").count() == 10_000
+        assert passed.where("id % 4 <> 0").count() < other
+    assert rows.where(sieve(keys.where("false"), ["null", "id"])).isEmpty()
+    assert rows.where(~sieve(keys.where("false"), ["null", "id"])).count() == 40_000

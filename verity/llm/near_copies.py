@@ -3,12 +3,15 @@
 Documents with equal sets are one entry. SimHash names candidates: fingerprints of several 64-bit words, joined by
 the binary tries of operator 5. A word is cut into parts; a trie's root is a part's value, and its entries are that
 word and the next one of the documents that have the value. Entries of a root that are joined, directly or by others,
-within BITS[parts] differing bits are a band. A band's entries are candidates only: bands with the same entries count
-once, and the shingle sets of the entries (and only those) follow their bands, cut into blocks of bounded numbers of
-entries and of shingles. In a block each pair that is not yet linked is
+within BITS[parts] differing bits are a band. A band's entries are candidates only. What bands hang together is a
+cluster, and the texts of its entries (and only those) are dealt by cluster, so that an entry travels once and not
+once for each of its bands. A cluster is cut into blocks of bounded numbers of entries and of shingles. In a block
+each pair that is not yet linked is
 compared exactly; a block returns a spanning forest, never the pairs of a group. Links meet in distributed connected
-components. Bands of the first quarter of the words go first; of the others only those follow that are not yet one
-component. Shingles are compared as 64-bit hashes.
+components. Of a cluster of one block that is all. One of several blocks is cut twice, by two hashes, so that a large
+group of near copies hangs together for twice its rows; then those of its bands follow that are not yet one component,
+those of the first quarter of the words first; bands with the same entries count once. Shingles are compared as 64-bit
+hashes.
 
 Bits of two sets with a Jaccard similarity of 0.8 differ with a probability of 0.15 (0.16 in sets of under 40
 shingles, 0.19 for 4 of 5), so that a part of 12 bits is the same in 0.14 of the words. A pair at exactly 0.8 has none
@@ -16,11 +19,13 @@ of the 90 parts in common with probability 1e-6 (5e-6, 4e-4), a closer pair with
 1 / 4096 of the documents each; for more documents parts are longer and words more (PLANS), so that by
 calculation (not measured) work grows as the power 1.25 of the documents and not as their square.
 
-A band of several blocks is cut twice, by two hashes, so that a large group of near copies hangs together after the
-first round for twice its rows. The second round compares what that left open: entries outside a band's largest
+A band of several blocks is cut twice as well. The second round compares what that left open: entries outside a band's largest
 component with that component, block by block, and with each other. A band that is one component has none. So the
 work grows with a band's entries times those that are not near copies of the rest, not with the square of a group.
 
+Texts are dealt through a bounded Bloom filter (see sieve): those that surely are no entry, or surely stay, do not
+travel. What passes it is joined exactly.
+
 Nulls: a null text has no shingles, like an empty one, and all such documents are one group; a null doc_id represents
 a group only if no row of the group has an id.
 """
@@ -34,9 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verity.llm.common import cut, map_pieces, quoted, texts
+from verity.llm.common import cut, map_pieces, pieces, quoted, texts
 from verity.llm.components import Forest, components
 from verity.llm.hashing import U, mix
+from verity.llm.sieve import sieve
 from verity.llm.simhash import shingle_hashes, trie_join
 
 #: Up to how many documents how many words are cut into how many parts each.
@@ -46,6 +52,8 @@ PLANS = [(1 << 21, 18, 5), (1 << 26, 47, 4), (1 << 63, 140, 3)]
 BITS = {5: 32, 4: 30, 3: 28}
 #: What a row is in the part that it is compared in: of the known component, beside one, or compared with all.
 KNOWN, OTHER, ALL = 0, 1, 2
+#: What a row is found again by: its id and a hash of its text.
+KEYS = ["null", "id", "hash"]
 
 
 def prints_of(raw: list[bytes], shingle: int = 5, words: int = PLANS[0][1]) -> tuple[list[int], list[np.ndarray], np.ndarray]:
@@ -107,8 +115,8 @@ def linked(sets: list[np.ndarray], similarity: float, known: int = 0) -> np.ndar
 
 
 def candidates(distinct: DataFrame, words: int, parts: int, rows_per_partition: int = 100_000) -> DataFrame:
-    """Bands (set, band, word) of a table of distinct fingerprints (set, print): what is joined within BITS[parts] bits under
-    a root of the tries."""
+    """Bands (set, band, word, lead) of a table of distinct fingerprints (set, print): what is joined within BITS[parts] bits
+    under a root of the tries. lead is one of the band's sets."""
     width, n = 64 // parts, distinct.count()
     # Roots travel together by the upper bits of their value, packed: a set and two words an entry.
     upper = min(width, (n // 16_384).bit_length())
@@ -144,11 +152,17 @@ def candidates(distinct: DataFrame, words: int, parts: int, rows_per_partition:
         root, held = root[order], held[order]
         up = trie_join(root, held[:, 1:], BITS[parts], 1 << 16, neighbours=4).roots()
         some = np.flatnonzero(np.bincount(up, minlength=len(up))[up] > 1)
-        band = mix(mix(held[up[some], 0]) ^ root[some])
-        yield pa.RecordBatch.from_arrays([pa.array(held[some, 0].view(np.int64)), pa.array(band.view(np.int64)), pa.array((root[some] >> U(width)).astype(np.int64) // parts)], ["set", "band", "word"])
+        lead = held[up[some], 0]
+        band = mix(mix(lead) ^ root[some])
+        yield pa.RecordBatch.from_arrays([pa.array(held[some, 0].view(np.int64)), pa.array(band.view(np.int64)), pa.array((root[some] >> U(width)).astype(np.int64) // parts), pa.array(lead.view(np.int64))], ["set", "band", "word", "lead"])
 
     partitions = max(4, -(-n * words * parts // rows_per_partition))
-    return distinct.mapInArrow(deal, "group long, data binary").repartition(partitions, "group").mapInArrow(join, "set long, band long, word long")
+    return distinct.mapInArrow(deal, "group long, data binary").repartition(partitions, "group").mapInArrow(join, "set long, band long, word long, lead long")
+
+
+def keyed(ident, row) -> list:
+    """KEYS of a row from its id and the hash of its text."""
+    return [ident.isNull().alias("null"), F.coalesce(ident, F.lit(0)).alias("id"), row.alias("hash")]
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 1024, hashes: int = 1 << 21, rows_per_partition: int = 10_000) -> DataFrame:
@@ -164,13 +178,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
         return step
 
-    def sets():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, found, _ = prints_of(texts(batch), shingle, 0)
-            return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "hashes"])
-
-        return step
-
     def compare(batches):
         part, names, held, known = None, [], [], 0
 
@@ -180,22 +187,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
             own = np.array(names, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(own[k]), pa.array(own[up[k]])], ["u", "v"])
 
-        for b in batches:
-            for key, side, name, data in zip(*(b.column(c).to_pylist() for c in ("part", "side", "set")), b.column("hashes"), strict=True):
+        for b in (piece for batch in batches for piece in pieces(batch, "text")):
+            for key, side, name, data in zip(*(b.column(c).to_pylist() for c in ("part", "side", "set")), prints_of(texts(b), shingle, 0)[1], strict=True):
                 if key != part:
                     if len(held) > 1:
                         yield links()
                     part, names, held, known = key, [], [], 0
                 names.append(name)
-                held.append(np.frombuffer(data.as_py(), np.uint64))
+                held.append(data)
                 known += side == KNOWN
         if len(held) > 1:
             yield links()
 
-    def compared(each: DataFrame, held: DataFrame) -> DataFrame:
+    def compared(each: DataFrame) -> DataFrame:
         """Links of rows (set, part, side): in a part, entries that are known to be one component come first."""
-        partitions = max(4, -(-each.count() // rows_per_partition))
-        return each.join(held, "set").repartition(partitions, "part").sortWithinPartitions("part", "side").mapInArrow(compare, "u long, v long")
+        # One row of docs stands for each set that is compared. Join and ranks have the same keys, so that texts are dealt
+        # once to be found and once to their parts.
+        stands = cut(each.groupBy("set").agg(F.collect_list(F.struct("part", "side")).alias("places")).join(distinct.select("set", *keyed(F.col("r.doc_id"), F.col("r.row"))), "set"))
+        partitions = max(4, -(-(stands.agg(F.sum(F.size("places"))).first()[0] or 0) // rows_per_partition))
+        rows = slim.select(*keyed(F.col("doc_id"), F.col("row")), "text")
+        rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy("text"))
+        shown = rows.where(sieve(stands, KEYS)).join(stands, KEYS).withColumn("rank", rank).where("rank = 1")
+        shown = shown.select("set", "text", F.explode("places").alias("p")).select("set", "text", "p.part", "p.side")
+        return shown.repartition(partitions, "part").sortWithinPartitions("part", "side").mapInArrow(compare, "u long, v long")
 
     def blocks(n: str, total: str):
         """How many blocks n entries with so many shingles make."""
@@ -207,26 +221,26 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     words, parts = next((w, p) for most, w, p in PLANS if slim.count() <= most)
     all_rows = cut(map_pieces(slim, prints, "doc_id long, row long, set long, size long, print binary"))
-    distinct = cut(all_rows.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("print").alias("print")))
-    entries = cut(candidates(distinct, words, parts).join(distinct.select("set", "size"), "set"))
+    distinct = cut(all_rows.where("size > 0").groupBy("set").agg(F.first("size").alias("size"), F.first("print").alias("print"), F.min(F.struct("row", "doc_id")).alias("r")))
+    entries = cut(candidates(distinct, words, parts))
     all_rows = all_rows.drop("print")
     few = words // 4
 
-    def settled(entries: DataFrame, known: DataFrame | None) -> DataFrame:
-        """(id, component) of the links in bands, and of those known."""
+    def blocked(entries: DataFrame) -> DataFrame:
+        """Entries (set, size, band) of different bands with the number of blocks of their band."""
         bands = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("members"), F.min("set").alias("low")).where("n > 1")
         bands = bands.groupBy("n", "total", "members", "low").agg(F.min("band").alias("band"))
-        members = cut(entries.join(bands.select("band", blocks("n", "total").alias("b")), "band"))
-        # One row of docs stands for each set that is compared.
-        stands = all_rows.join(members.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min(F.struct("row", "doc_id")).alias("r")).select(F.col("r.row").alias("r"), F.col("r.doc_id").alias("d"))
-        shown = slim.join(stands, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select("text")
-        held = cut(map_pieces(shown, sets, "set long, hashes binary")).groupBy("set").agg(F.first("hashes").alias("hashes"))
-        first = members.withColumn("seed", F.explode(F.when(F.col("b") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        first = first.select("set", F.xxhash64("band", "seed", F.pmod(F.xxhash64("set", "seed"), F.col("b"))).alias("part"), F.lit(ALL).alias("side"))
-        links = compared(first, held)
-        if known is not None:
-            links = links.unionByName(known.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        whole = components(links)
+        return cut(entries.join(bands.select("band", blocks("n", "total").alias("b")), "band"))
+
+    def dealt(members: DataFrame) -> DataFrame:
+        """Links in blocks; bands of several blocks are cut twice."""
+        each = members.withColumn("seed", F.explode(F.when(F.col("b") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        return compared(each.select("set", F.xxhash64("band", "seed", F.pmod(F.xxhash64("set", "seed"), F.col("b"))).alias("part"), F.lit(ALL).alias("side")))
+
+    def settled(entries: DataFrame, known: DataFrame) -> DataFrame:
+        """(id, component) of the links in bands, and of those known."""
+        members = blocked(entries)
+        whole = components(dealt(members).unionByName(known.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         # Bands of several blocks that are not one component: rows of the largest one (known) and the others.
         open_ = members.where("b > 1").join(whole, F.col("set") == F.col("id"), "left").select("band", "set", "size", F.coalesce("component", "set").alias("c"))
         sizes = open_.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("ks"))
@@ -242,16 +256,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
             second = inside.select("set", F.xxhash64("band", F.lit("met"), "own", "other").alias("part"), F.lit(KNOWN).alias("side"))
             second = second.unionByName(met.select("set", F.xxhash64("band", F.lit("met"), "other", "own").alias("part"), F.lit(OTHER).alias("side")))
             second = second.unionByName(among.select("set", F.xxhash64("band", F.lit("among"), F.least("own", "other"), F.greatest("own", "other")).alias("part"), F.lit(ALL).alias("side")))
-            whole = components(compared(second, held).unionByName(whole.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+            whole = components(compared(second).unionByName(whole.select(F.col("id").alias("u"), F.col("component").alias("v"))))
         return whole
 
-    # What the first words find is one component already in nearly all bands of the others, which then are done.
-    whole = cut(settled(entries.where(F.col("word") < few).drop("word"), None))
-    rest = entries.where(F.col("word") >= few).join(whole, F.col("set") == F.col("id"), "left").select("set", "size", "band", F.coalesce("component", "set").alias("c"))
-    split = rest.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    rest = cut(rest.drop("c").join(split, "band", "left_semi"))
-    if not rest.isEmpty():
-        whole = settled(rest, whole)
+    clusters = components(entries.select(F.col("set").alias("u"), F.col("lead").alias("v")))
+    clusters = blocked(clusters.select(F.col("id").alias("set"), F.col("component").alias("band")).join(distinct.select("set", "size"), "set"))
+    whole = cut(components(dealt(clusters)))
+    for some in (F.col("word") < few, F.col("word") >= few):
+        # Bands of clusters of several blocks that are not one component.
+        state = clusters.select("set", "size", "b").join(whole, F.col("set") == F.col("id"), "left").select("set", "size", "b", F.coalesce("component", "set").alias("c"))
+        rest = entries.where(some).select("set", "band").join(state, "set")
+        split = rest.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("b").alias("b")).where("lo <> hi and b > 1").select("band")
+        rest = cut(rest.select("set", "size", "band").join(split, "band", "left_semi"))
+        if not rest.isEmpty():
+            whole = cut(settled(rest, whole))
     return all_rows.join(whole, all_rows["set"] == whole["id"], "left").select("doc_id", "row", F.coalesce("component", "set").alias("group"))
 
 
@@ -259,12 +277,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs, all columns as they are, that stay: one of each group of near copies, that with the smallest
     id (of different texts of that id any, always the same one; a null id comes last)."""
     low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("low")
-    kept = cut(groups(docs, id_col, text_col, shingle, similarity).groupBy("group").agg(low).select(F.col("low.doc_id").alias("kept_id"), F.col("low.row").alias("kept_row")))
-    ident = quoted(docs, id_col).cast("long")
+    found = cut(groups(docs, id_col, text_col, shingle, similarity))
+    kept = cut(found.groupBy("group").agg(low).select(*keyed(F.col("low.doc_id"), F.col("low.row"))))
+    # A row whose keys no other row has and which is kept stays where it is; only the others are dealt.
+    times = found.select(*keyed(F.col("doc_id"), F.col("row"))).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    doubt = cut(times.join(kept.withColumn("kept", F.lit(True)), KEYS, "left").where("kept is null or n > 1").select(*KEYS))
     row = F.xxhash64(F.coalesce(quoted(docs, text_col).cast("string"), F.lit("")))
+    rows = docs.select(*keyed(quoted(docs, id_col).cast("long"), row), F.struct(*(quoted(docs, c) for c in docs.columns)).alias("row"))
+    doubtful = sieve(doubt, KEYS)
     # Join and ranks have the same keys, so that texts are dealt once.
-    keys = ["null", "id", "hash"]
-    rows = docs.select(ident.isNull().alias("null"), F.coalesce(ident, F.lit(0)).alias("id"), row.alias("hash"), F.struct(*(quoted(docs, c) for c in docs.columns)).alias("row"))
-    kept = kept.select(F.col("kept_id").isNull().alias("null"), F.coalesce("kept_id", F.lit(0)).alias("id"), F.col("kept_row").alias("hash"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("row").getField(text_col)))
-    return rows.join(kept, keys, "left_semi").select("row", rank.alias("rank")).where("rank = 1").select("row.*")
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("row").getField(text_col)))
+    dealt = rows.where(doubtful).join(kept, KEYS, "left_semi").select("row", rank.alias("rank")).where("rank = 1")
+    return rows.where(~doubtful).select("row.*").union(dealt.select("row.*"))
