@@ -116,7 +116,7 @@ def linked(sets: list[np.ndarray], similarity: float, known: int = 0) -> np.ndar
 
 def candidates(distinct: DataFrame, words: int, parts: int, rows_per_partition: int = 100_000) -> DataFrame:
     """Bands (set, band, word, lead) of a table of distinct fingerprints (set, print): what is joined within BITS[parts] bits
-    under a root of the tries. lead is one of the band's sets."""
+    under a root of the tries. lead is the smallest of the band's sets."""
     width, n = 64 // parts, distinct.count()
     # Roots travel together by the upper bits of their value, packed: a set and two words an entry.
     upper = min(width, (n // 16_384).bit_length())
@@ -152,9 +152,13 @@ def candidates(distinct: DataFrame, words: int, parts: int, rows_per_partition:
         root, held = root[order], held[order]
         up = trie_join(root, held[:, 1:], BITS[parts], 1 << 16, neighbours=4).roots()
         some = np.flatnonzero(np.bincount(up, minlength=len(up))[up] > 1)
-        lead = held[up[some], 0]
-        band = mix(mix(lead) ^ root[some])
-        yield pa.RecordBatch.from_arrays([pa.array(held[some, 0].view(np.int64)), pa.array(band.view(np.int64)), pa.array((root[some] >> U(width)).astype(np.int64) // parts), pa.array(lead.view(np.int64))], ["set", "band", "word", "lead"])
+        band = mix(mix(held[up[some], 0]) ^ root[some])
+        # Bands of a group have few leads if each is its band's smallest set: few different links to find clusters by.
+        own = held[:, 0].view(np.int64)
+        low = own.copy()
+        np.minimum.at(low, up, own)
+        lead = low[up[some]]
+        yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(band.view(np.int64)), pa.array((root[some] >> U(width)).astype(np.int64) // parts), pa.array(lead)], ["set", "band", "word", "lead"])
 
     partitions = max(4, -(-n * words * parts // rows_per_partition))
     return distinct.mapInArrow(deal, "group long, data binary").repartition(partitions, "group").mapInArrow(join, "set long, band long, word long, lead long")
@@ -262,14 +266,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     clusters = components(entries.select(F.col("set").alias("u"), F.col("lead").alias("v")))
     clusters = blocked(clusters.select(F.col("id").alias("set"), F.col("component").alias("band")).join(distinct.select("set", "size"), "set"))
     whole = cut(components(dealt(clusters)))
-    for some in (F.col("word") < few, F.col("word") >= few):
-        # Bands of clusters of several blocks that are not one component.
+
+    def unsettled(entries: DataFrame, whole: DataFrame) -> DataFrame:
+        """Entries of bands that are not one component, in clusters of several blocks."""
         state = clusters.select("set", "size", "b").join(whole, F.col("set") == F.col("id"), "left").select("set", "size", "b", F.coalesce("component", "set").alias("c"))
-        rest = entries.where(some).select("set", "band").join(state, "set")
+        rest = entries.select("set", "band", "word").join(state, "set")
         split = rest.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("b").alias("b")).where("lo <> hi and b > 1").select("band")
-        rest = cut(rest.select("set", "size", "band").join(split, "band", "left_semi"))
+        return cut(rest.select("set", "size", "band", "word").join(split, "band", "left_semi"))
+
+    rest = unsettled(entries, whole)
+    if not rest.isEmpty():
+        whole = cut(settled(rest.where(F.col("word") < few).drop("word"), whole))
+        rest = unsettled(rest.where(F.col("word") >= few).drop("size"), whole)
         if not rest.isEmpty():
-            whole = cut(settled(rest, whole))
+            whole = settled(rest.drop("word"), whole)
     return all_rows.join(whole, all_rows["set"] == whole["id"], "left").select("doc_id", "row", F.coalesce("component", "set").alias("group"))
 
 
